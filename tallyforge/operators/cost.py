@@ -43,11 +43,13 @@ def price_calls(
     counted before it is broadcast.
     """
     if isinstance(prices, PriceBook):
-        fallback = prices
-        table = calls.sparkSession.createDataFrame(prices.rows(), schemas.PRICES)
+        fallback, rows = prices, prices.rows()
+        table, row_count = calls.sparkSession.createDataFrame(rows, schemas.PRICES), len(rows)
     else:
-        table = prices
-    priced = left_join_dimension(calls, table, "model", ["session_id", "call_seq"])
+        table, row_count = prices, None
+    priced = left_join_dimension(
+        calls, table, "model", ["session_id", "call_seq"], row_count=row_count
+    )
     in_fallback, out_fallback = (
         F.lit(p).cast("decimal(10,6)") for p in fallback.fallback
     )

@@ -22,16 +22,20 @@ def left_join_dimension(
     dimension: DataFrame,
     on: str,
     spread: Sequence[str],
+    row_count: int | None = None,
     row_limit: int = BROADCAST_ROW_LIMIT,
     salts: int = 32,
 ) -> DataFrame:
-    """Left join by `on`: broadcast when the dimension is counted to be small.
+    """Left join by `on`: broadcast when the dimension is known to be small.
+
+    `row_count` is given where the driver built the dimension; else it is counted.
 
     A larger dimension is repeated once per salt and shuffled.  The salt of a fact
     row is the hash of its `spread` columns, so a key that holds a third of all
     facts still spreads over `salts` tasks and a rerun salts alike.
     """
-    if is_small(dimension, row_limit):
+    small = is_small(dimension, row_limit) if row_count is None else row_count <= row_limit
+    if small:
         return facts.join(F.broadcast(dimension), on, "left")
     salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn(

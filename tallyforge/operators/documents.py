@@ -54,14 +54,17 @@ def response_maps(responses: DataFrame) -> DataFrame:
 def text_documents(
     prompts: DataFrame, responses: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
-    """Text evaluations, or error and details where the verdict failed."""
+    """Text evaluations, or error and details where the verdict failed.
+
+    Further columns of `prompts` (a run's stamp, a batch) stay.
+    """
     joined = prompts.join(response_maps(responses), "prompt_id", "left").join(
         verdicts.select("prompt_id", "status", "parsed", "winner", "error", "details"),
         "prompt_id",
     )
     held = F.col("status") == EVALUATED
     return joined.select(
-        "prompt_id",
+        *[c for c in prompts.columns if c != "prompt"],
         F.when(held, F.col("prompt")).alias("prompt"),
         F.when(held, F.col("responses")).alias("responses"),
         F.when(held, F.col("parsed")).alias("scores"),

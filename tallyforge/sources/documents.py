@@ -34,8 +34,12 @@ def document_kind() -> Column:
 
 
 def write_documents(documents: DataFrame, path: str, partition: str = "run_ts") -> None:
-    """One JSON document per evaluation, partitioned by run."""
-    documents.write.partitionBy(partition).json(path)
+    """One JSON document per evaluation, partitioned by run.
+
+    The rebalance keeps files of even size: small runs share tasks, a run that holds
+    most documents is split over many.
+    """
+    documents.hint("rebalance", partition).write.partitionBy(partition).json(path)
 
 
 def as_json(document: Column, pretty: bool = True) -> Column:

@@ -344,24 +344,25 @@ def security_count(spark, sf):
 
 @query
 def finding_counts(spark, sf):
-    snippets = V.tool_outputs(spark, sf)
+    snippets = V.tool_outputs(spark, sf).select("snippet_id")
     findings = V.blocks(spark, sf).filter("complexity > 9")
     return finding_count(snippets, findings)
 
 
 @query
 def avg_complexity(spark, sf):
-    return mean_complexity(V.tool_outputs(spark, sf), V.blocks(spark, sf))
+    snippets = V.tool_outputs(spark, sf).select("snippet_id")
+    return mean_complexity(snippets, V.blocks(spark, sf))
 
 
 @query
 def style_reports(spark, sf):
     """Linter output and block table to style reports."""
-    snippets = V.tool_outputs(spark, sf)
-    ratings = snippets.select("snippet_id", X.lint_rating(F.col("lint_stdout")).alias("rating"))
-    means = mean_complexity(snippets, V.blocks(spark, sf))
+    rated = V.tool_outputs(spark, sf).select(
+        "snippet_id", X.lint_rating(F.col("lint_stdout")).alias("rating")
+    )
     report = S.style_report(F.col("rating"), F.col("avg_complexity"))
-    return ratings.join(means, "snippet_id").select(
+    return mean_complexity(rated, V.blocks(spark, sf)).select(
         "snippet_id", report.alias("r")
     ).select("snippet_id", "r.*")
 
@@ -547,15 +548,15 @@ def priced_docs(spark, sf):
 def saved_docs_roundtrip(spark, sf):
     """Text documents written as JSON by run and read back."""
     answers = V.text_answers(spark, sf)
+    prompts = answers.select(
+        "prompt_id", "prompt", F.date_format("run_at", "yyyy").alias("run_ts")
+    )
     documents = TextEvaluator(V.verdicts(spark, sf)).evaluate(
-        answers.select("prompt_id", "prompt"), responses_from_map(answers)
+        prompts, responses_from_map(answers)
     )
-    runs = answers.select("prompt_id", F.date_format("run_at", "yyyy").alias("run_ts"))
     path = scratch_path(spark, "documents")
     SD.write_documents(
-        documents.join(runs, "prompt_id")
-        .withColumn("prompt_id", F.col("prompt_id").cast("string")),
-        path,
+        documents.withColumn("prompt_id", F.col("prompt_id").cast("string")), path
     )
     back = SD.read_documents(spark, path, multi_line=False)
     return back.select(
