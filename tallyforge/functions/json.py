@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.let import let
+
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
     """The last of several equal keys wins, as a JSON reader in Python has it."""
@@ -29,9 +31,13 @@ def strict_json(text: Column) -> Column:
     """
     seal = F.hex(F.xxhash64(text))
     sealed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
-    parts = F.try_parse_json(sealed).try_cast("array<variant>")
-    whole = (F.size(parts) == 2) & (F.get(parts, F.lit(1)).try_cast("string") == seal)
-    return F.when(whole, F.get(parts, F.lit(0)))
+    parsed = F.try_parse_json(sealed).try_cast("array<variant>")
+
+    def value(parts: Column) -> Column:
+        whole = (F.size(parts) == 2) & (F.get(parts, F.lit(1)).try_cast("string") == seal)
+        return F.when(whole, F.get(parts, F.lit(0)))
+
+    return let(parsed, value)
 
 
 def extract_json(text: Column) -> Column:
@@ -39,9 +45,8 @@ def extract_json(text: Column) -> Column:
     return strict_json(json_span(text))
 
 
-def variant_kind(value: Column) -> Column:
-    """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``VOID`` or a number type."""
-    return F.regexp_extract(F.schema_of_variant(value), r"\A[A-Z]+", 0)
+def is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
 def security_issue_count(report: Column) -> Column:

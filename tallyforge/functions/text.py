@@ -33,8 +33,7 @@ def extract_code(text: Column) -> Column:
         F.startswith(body, F.lit(FENCE_LANGUAGE)),
         F.substring(body, F.lit(len(FENCE_LANGUAGE) + 1), F.length(body)),
     ).otherwise(body)
-    fenced = F.contains(text, F.lit(FENCE)) & (F.size(pieces) == 3)
-    return strip(F.when(fenced, without_tag).otherwise(text))
+    return strip(F.when(F.size(pieces) == 3, without_tag).otherwise(text))
 
 
 def clean_tests(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.json import variant_kind
+from tallyforge.functions.json import is_object
+from tallyforge.functions.let import let
 from tallyforge.settings import RESERVED_VERDICT_KEYS
 
 # Texts of a failed text evaluation.
@@ -21,9 +22,7 @@ def model_entries(parsed: Column) -> Column:
 
 
 def all_entries_are_objects(parsed: Column) -> Column:
-    return F.forall(
-        F.map_values(model_entries(parsed)), lambda v: variant_kind(v) == "OBJECT"
-    )
+    return F.forall(F.map_values(model_entries(parsed)), is_object)
 
 
 def field(parsed: Column, name: str) -> Column:
@@ -33,15 +32,19 @@ def field(parsed: Column, name: str) -> Column:
 
 def shown(entry: Column, name: str, default: str = "N/A") -> Column:
     """A mark as a report prints it; an absent one prints as `default`."""
+
+    def printed(mark: Column) -> Column:
+        raw, text = mark["raw"], mark["text"]
+        return (
+            F.when(raw.isNull(), F.lit(default))
+            .when(text.isNull(), F.lit("None"))
+            .when(text.isin("true", "false") & (F.schema_of_variant(raw) == "BOOLEAN"), F.initcap(text))
+            .otherwise(text)
+        )
+
     raw = F.try_variant_get(entry, f"$.{name}", "variant")
-    text = raw.try_cast("string")
-    kind = variant_kind(raw)
-    return (
-        F.when(raw.isNull(), F.lit(default))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
-    )
+    text = F.try_variant_get(entry, f"$.{name}", "string")
+    return let(F.struct(raw.alias("raw"), text.alias("text")), printed)
 
 
 def mark(entry: Column, name: str) -> Column:

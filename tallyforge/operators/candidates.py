@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,16 @@ def score_candidates(
     )
 
 
+def with_scores(rows: DataFrame, scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Attach score columns by prompt and model; rows nobody scored keep NULLs.
+
+    Responses may lack a score, and a verdict may name models nobody ran.
+    """
+    return rows.join(
+        scored.select("prompt_id", "model", *columns), ["prompt_id", "model"], "left"
+    )
+
+
 def only_where_valid(
     rows: DataFrame, costly: Callable[[DataFrame], DataFrame], valid: str = "syntax_ok"
 ) -> DataFrame:

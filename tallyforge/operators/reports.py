@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import verdict as V
-from tallyforge.functions.json import variant_kind
+from tallyforge.functions.let import let
 from tallyforge.functions.scoring import EVALUATED
 from tallyforge.functions.text import category_label, model_label
 from tallyforge.operators.binding import bind
@@ -48,14 +48,16 @@ def text_report(
 
     def block(model: Column) -> Column:
         entry = F.col("entries")[model]
-        reasoning = V.shown(entry, "reasoning", "")
         return F.concat(
             F.array(
                 _line(model_label(model), " ANALYSIS:"),
                 _line("   Correctness: ", V.shown(entry, "correctness"), scale),
                 _line("   Relevance: ", V.shown(entry, "relevance"), scale),
             ),
-            _lines_if(~reasoning.isin("", "None"), _line("   Reasoning: ", reasoning)),
+            let(
+                F.coalesce(V.field(entry, "reasoning"), F.lit("")),
+                lambda told: _lines_if(told != "", _line("   Reasoning: ", told)),
+            ),
         )
 
     lines = F.concat(
@@ -77,7 +79,9 @@ def code_report(verdicts: DataFrame) -> DataFrame:
     raw_entries = F.from_json("json_text", "map<string,string>")
 
     def metrics(model: Column) -> Column:
-        row = F.try_element_at(F.col("results"), model)
+        return let(F.try_element_at(F.col("results"), model), metric_lines)
+
+    def metric_lines(row: Column) -> Column:
         evaluated = row["status"] == EVALUATED
 
         def known(value: Column) -> Column:
@@ -97,18 +101,21 @@ def code_report(verdicts: DataFrame) -> DataFrame:
         )
 
     def categories(model: Column) -> Column:
-        entry = F.try_element_at(F.col("entries"), model)
-        texts = entry.try_cast("map<string,variant>")
+        # Only an object casts to a map and has keys.
+        texts = F.try_element_at(F.col("entries"), model).try_cast("map<string,variant>")
         written = F.json_object_keys(F.try_element_at(F.col("raw_entries"), model))
         known = F.filter(F.array_distinct(written), lambda k: k.isin(*CODE_CATEGORIES))
-        lines = F.transform(known, lambda k: F.struct(
-            F.try_element_at(texts, k).try_cast("string").alias("text"), k.alias("name")
-        ))
-        told = F.filter(lines, lambda l: l["text"] != "")
-        return F.when(
-            variant_kind(entry) == "OBJECT",
-            F.transform(told, lambda l: _line("   ", category_label(l["name"]), ": ", l["text"])),
-        ).otherwise(F.array().cast("array<string>"))
+
+        def lines(of: Column) -> Column:
+            named = F.transform(known, lambda k: F.struct(
+                F.try_element_at(of, k).try_cast("string").alias("text"), k.alias("name")
+            ))
+            told = F.filter(named, lambda l: l["text"] != "")
+            return F.transform(
+                told, lambda l: _line("   ", category_label(l["name"]), ": ", l["text"])
+            )
+
+        return F.coalesce(let(texts, lines), F.array().cast("array<string>"))
 
     def block(model: Column) -> Column:
         return F.concat(

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str = "8", partitions: str = "8") -> SparkSession:
-    spark = (
+def local_session(
+    cpus: str = "8", partitions: str = "8", scratch: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyforge")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -182,7 +182,7 @@ select snippet_id, text, regexp_replace(case when regexp_matches(text, '(?s)```(
 from tool_outputs""",
     "blocks": """
 select l_partkey as snippet_id, l_linenumber as block, cast(l_quantity as int) % 12 + 1 as complexity
-from lineitem where l_partkey % 10 <> 0""",
+from lineitem""",
     "ratings": r"""
 select snippet_id, coalesce(try_cast(nullif(regexp_extract(lint_stdout,
   'rated at ([0-9\.]+)/10', 1), '') as double), 0) as rating
@@ -297,6 +297,11 @@ from (select prompt_id, first_model as model from code_verdicts where first_mode
   union all select prompt_id, 'notes' from code_verdicts where prompt_id % 6 = 2) n
 left join scored s on n.prompt_id = s.prompt_id and n.model = s.model""",
         "code_verdicts", "scored"),
+    "response_score_rows": sql("""
+select o_orderkey as prompt_id, m.model, coalesce(s.status, 'unknown') as status,
+  coalesce(s.score, 0)::decimal(6,3) as score
+from orders cross join (values ('model-1'), ('model-3'), ('gpt-4')) m(model)
+left join scored s on o_orderkey = s.prompt_id and m.model = s.model""", "scored"),
     "call_costs": sql("select call_seq, session_id, model, book, cost from priced", "priced"),
     "call_costs_custom_prices": sql("""
 select call_seq, concat('nation-', session_id % 30) as model,

@@ -17,7 +17,7 @@ from tallyforge.operators import reports as R
 from tallyforge.operators import verdicts as VD
 from tallyforge.operators import winners as W
 from tallyforge.operators.calls import call_models
-from tallyforge.operators.candidates import only_where_valid
+from tallyforge.operators.candidates import only_where_valid, with_scores
 from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.running import enumerate_rows
 from tallyforge.operators.snippets import avg_complexity as mean_complexity
@@ -124,8 +124,18 @@ def verdict_score_rows(spark, sf):
     """Score rows of the models a code verdict names; missing ones stay."""
     judged = VD.parse_code_verdicts(V.code_verdicts(spark, sf))
     named = VD.verdict_marks(judged).select("prompt_id", "model")
-    scored = V.scored_runs(spark, sf).select("prompt_id", "model", "status", "score")
-    return named.join(scored, ["prompt_id", "model"], "left").select(
+    return _with_default_scores(named, V.scored_runs(spark, sf))
+
+
+@query
+def response_score_rows(spark, sf):
+    """Score rows of all prompts times three models; missing ones stay."""
+    asked = P.fan_out(_code_prompts(spark, sf), ["model-1", "model-3", "gpt-4"])
+    return _with_default_scores(asked.select("prompt_id", "model"), V.scored_runs(spark, sf))
+
+
+def _with_default_scores(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    return with_scores(rows, scored, ["status", "score"]).select(
         "prompt_id", "model",
         F.coalesce("status", F.lit("unknown")).alias("status"),
         F.coalesce("score", F.lit(0)).cast("decimal(6,3)").alias("score"),
