@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ TIMEOUT = "timeout"
 
 
 def round_binary(x: Column, digits: int) -> Column:
-    """Round a double as Python does: half even, by its exact binary value.
+    """Round a non-negative double as Python does: half even, by its binary value.
 
     Spark's ``round`` works on the printed decimal, so 2.675 becomes 2.68 instead of
-    2.67; ``format_number`` looks at the binary value.
+    2.67; ``format_number`` looks at the binary value.  It fails where the first
+    digit is the one to round, so values below one unit are compared with half a unit.
     """
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
+    unit, half = float(f"1e-{digits}"), float(f"5e-{digits + 1}")
+    half_rounds_up = Decimal(half) > Decimal(f"5e-{digits + 1}")
+    up = x >= half if half_rounds_up else x > half
+    formatted = F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
+    return F.when(x >= unit, formatted).when(up, F.lit(unit)).otherwise(F.lit(0.0))
 
 
 def outcome_counts(outcome: Column, total_asserts: Column) -> Column:

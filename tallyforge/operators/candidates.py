@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.functions import scoring as S
+from tallyforge.functions.json import allow_duplicate_keys, security_issue_count
+from tallyforge.functions.python_syntax import syntax_ok
+from tallyforge.functions.text import extract_code, lint_rating, run_output_counts
 from tallyforge.settings import ScoreWeights
 
 # Error texts of rows that reached no result.
@@ -54,6 +57,31 @@ def score_candidates(
     )
 
 
+def candidates_from_reports(
+    responses: DataFrame, reports: DataFrame, runs: DataFrame
+) -> DataFrame:
+    """Responses with what the outside tools wrote about them, ready to score.
+
+    `reports` (prompt_id, model, lint_stdout, report_json, avg_complexity) and `runs`
+    (prompt_id, model, stdout) have one row per answer; all three tables meet on the
+    same keys.  Candidates are compiled here unless `reports` has `syntax_ok`.
+    """
+    keys = ["prompt_id", "model"]
+    allow_duplicate_keys(responses.sparkSession)
+    joined = responses.join(reports, keys, "left").join(runs, keys, "left")
+    if "syntax_ok" not in reports.columns:
+        joined = joined.withColumn("syntax_ok", syntax_ok(extract_code(F.col("response"))))
+    return joined.select(
+        *responses.columns,
+        "syntax_ok",
+        security_issue_count(F.col("report_json")).alias("security_issues"),
+        F.col("report_json").alias("bandit_output"),
+        F.coalesce(lint_rating(F.col("lint_stdout")), F.lit(0.0)).alias("rating"),
+        F.coalesce("avg_complexity", F.lit(0.0)).alias("avg_complexity"),
+        F.when(F.col("stdout").isNotNull(), run_output_counts(F.col("stdout"))).alias("tests"),
+    )
+
+
 def with_scores(rows: DataFrame, scored: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Attach score columns by prompt and model; rows nobody scored keep NULLs.
 

@@ -20,7 +20,8 @@ def test_round_binary_is_pythons_round(spark):
         0.7 * max(p / t - i * 0.1, 0) + 0.3 * (s / 1000)
         for p, t, i, s in itertools.product(range(11), (1, 3, 7, 10, 12), range(3), range(0, 1001, 13))
     ]
-    values += [k / 1000 + 0.0005 for k in range(1, 2000)] + [k / 16 for k in range(200)]
+    values += [k / 1000 + 0.0005 for k in range(2000)] + [k / 16 for k in range(200)]
+    values += [0.0, 0.005, 0.015, 0.0015, 0.0004999999999999999, 0.0009999999999999999]
     values += [rng.random() * 10 ** rng.randint(-3, 3) for _ in range(5000)]
     rows = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
     for digits in (2, 3):

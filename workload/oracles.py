@@ -70,7 +70,16 @@ from runs""",
 select *, {round_style} as style_score,
   case when not syntax_ok then 'syntax_error' when passed_n is null then 'error'
     else 'evaluated' end as status
-from styled""",
+from {styled}""",
+    "reported": """
+select t.snippet_id as prompt_id, 'model-0' as model, 0 as model_pos,
+  t.snippet_id % 6 in (0, 2, 3) as syntax_ok,
+  case when t.snippet_id % 4 = 1 then 2 else 0 end as issues, rating, avg_complexity as cc,
+  (rating / 10) * (1::double / (1::double + avg_complexity / 10)) as raw_style,
+  case t.snippet_id % 5 when 0 then 4 when 1 then 9 when 3 then p_size else 0 end as passed_n,
+  case t.snippet_id % 5 when 0 then 0 when 1 then 1 when 3 then 2 else 0 end as failed_n
+from tool_outputs t join ratings r on t.snippet_id = r.snippet_id
+join complexities c on t.snippet_id = c.snippet_id""",
     "mixed": """
 select *, {weight_f}::double * greatest(
     (case when passed_n + failed_n > 0 then passed_n::double / (passed_n + failed_n) else 0 end)
@@ -210,12 +219,13 @@ DEPENDS = {
     "judged": ["spans"], "marks": ["judged"], "extracted": ["answers"],
     "test_code": ["tool_outputs"], "ratings": ["tool_outputs"],
     "complexities": ["tool_outputs", "blocks"],
+    "reported": ["tool_outputs", "ratings", "complexities"],
 }
 
-DEFAULT_WEIGHTS = {"weight_f": "0.7", "weight_s": "0.3", "penalty": "0.1"}
+DEFAULTS = {"weight_f": "0.7", "weight_s": "0.3", "penalty": "0.1", "styled": "styled"}
 
 
-def sql(body: str, *views: str, **weights: str) -> str:
+def sql(body: str, *views: str, **marks: str) -> str:
     """`body` over the named views and all they rest on."""
     needed: list[str] = []
 
@@ -228,7 +238,7 @@ def sql(body: str, *views: str, **weights: str) -> str:
     for v in views:
         add(v)
     marks = {
-        **DEFAULT_WEIGHTS, **weights,
+        **DEFAULTS, **marks,
         "round_style": _round("raw_style", 3), "round_score": _round("raw_score", 3),
     }
 
@@ -261,6 +271,7 @@ ORACLES = {
     "code_scores": sql(SCORE_COLUMNS, "scored"),
     "code_scores_custom_weights": sql(
         SCORE_COLUMNS, "scored", weight_f="0.5", weight_s="0.5", penalty="0.05"),
+    "scores_from_reports": sql(SCORE_COLUMNS, "reported", "scored", styled="reported"),
     "code_winner": sql("select * from code_won", "code_won"),
     "code_winner_of_prompts": sql("""
 select o_orderkey as prompt_id, coalesce(winner, 'No valid code found') as winner
@@ -451,11 +462,11 @@ left join blocks b on t.snippet_id = b.snippet_id and complexity > 9 group by t.
 select doc_id, text[1:50] as preview, upper(lang) as label,
   concat(upper(lang[1]), lang[2:], ' Code Quality') as category from documents""",
     "prompt_batch": """
-select item_id // 1000 as batch, cast(row_number() over (partition by item_id // 1000
+select item_id // 50000 as batch, cast(row_number() over (partition by item_id // 50000
   order by item_id) - 1 as integer) as prompt_idx, text as prompt from benchmark""",
     "prompt_fanout": """
 select batch, prompt_idx, prompt, model_pos, model from (
-  select item_id // 1000 as batch, cast(row_number() over (partition by item_id // 1000
+  select item_id // 50000 as batch, cast(row_number() over (partition by item_id // 50000
     order by item_id) - 1 as integer) as prompt_idx, text as prompt from benchmark) t,
   (values ('model-a', 0), ('model-b', 1)) m(model, model_pos)""",
     "enumerated_prompts": """

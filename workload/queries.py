@@ -17,7 +17,12 @@ from tallyforge.operators import reports as R
 from tallyforge.operators import verdicts as VD
 from tallyforge.operators import winners as W
 from tallyforge.operators.calls import call_models
-from tallyforge.operators.candidates import only_where_valid, with_scores
+from tallyforge.operators.candidates import (
+    candidates_from_reports,
+    only_where_valid,
+    score_candidates,
+    with_scores,
+)
 from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.running import enumerate_rows
 from tallyforge.operators.snippets import avg_complexity as mean_complexity
@@ -60,6 +65,24 @@ def code_scores_custom_weights(spark, sf):
     return _score_columns(V.scored_runs(spark, sf, weights))
 
 
+@query
+def scores_from_reports(spark, sf):
+    """From answers, linter and scanner output, block table and run output to scores."""
+    outputs = V.tool_outputs(spark, sf).select(
+        F.col("snippet_id").alias("prompt_id"), F.lit("model-0").alias("model"),
+        F.lit(0).alias("model_pos"), "text", "lint_stdout", "report_json", "stdout",
+    )
+    blocks = V.blocks(spark, sf).withColumnRenamed("snippet_id", "prompt_id")
+    candidates = candidates_from_reports(
+        outputs.select("prompt_id", "model", "model_pos", F.col("text").alias("response")),
+        mean_complexity(
+            outputs.select("prompt_id", "model", "lint_stdout", "report_json"), blocks, "prompt_id"
+        ),
+        outputs.select("prompt_id", "model", "stdout"),
+    )
+    return _score_columns(score_candidates(candidates))
+
+
 @query
 def code_winner(spark, sf):
     return W.code_winner(V.scored_runs(spark, sf))
@@ -396,10 +419,10 @@ def prompt_previews(spark, sf):
 # ---- prompts and requests ----------------------------------------------------
 
 def _batches(spark, sf):
-    """Benchmark texts as batch files of a thousand prompts, read back."""
+    """Benchmark texts as batch files of some 20 MB, read back."""
     path = scratch_path(spark, "prompt_batches")
     prompts = V.table(spark, sf, "benchmark").select(
-        F.floor(F.col("item_id") / 1000).alias("batch"), "item_id", F.col("text").alias("prompt")
+        F.floor(F.col("item_id") / 50_000).alias("batch"), "item_id", F.col("text").alias("prompt")
     )
     write_prompt_batches(prompts, path, "batch", "item_id")
     return read_prompts(spark, path).select(
