@@ -22,15 +22,38 @@ def json_span(text: Column) -> Column:
     )
 
 
+# Numbers that Python reads in JSON and Spark does not.
+NOT_FINITE = ("-Infinity", "Infinity", "NaN")
+STRING_OR_REST = r'"(?:[^"\\]++|\\.)*+"|[^"]++|"'
+
+
+def _finite(text: Column) -> Column:
+    """`text` with non-finite numbers, outside strings, as null."""
+
+    def nulled(part: Column) -> Column:
+        for number in NOT_FINITE:
+            part = F.replace(part, F.lit(number), F.lit("null"))
+        return part
+
+    parts = F.regexp_extract_all(text, F.lit(STRING_OR_REST), F.lit(0))
+    fixed = F.array_join(
+        F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(nulled(p))), ""
+    )
+    return F.when(F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity")), fixed) \
+        .otherwise(text)
+
+
 def strict_json(text: Column) -> Column:
     """The JSON value that `text` as a whole is, else NULL.
 
+    A number that is not finite reads as null.
+
     Spark's parser stops at the end of the first value and drops what follows.  A
     closing element holding the text's own hash, which must be read back, shows
     that nothing was dropped and that there was one value only.
     """
     seal = F.hex(F.xxhash64(text))
-    sealed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
+    sealed = F.concat(F.lit("["), _finite(text), F.lit(',"'), seal, F.lit('"]'))
     parsed = F.try_parse_json(sealed).try_cast("array<variant>")
 
     def value(parts: Column) -> Column:

@@ -46,7 +46,7 @@ def price_calls(
         fallback, rows = prices, prices.rows()
         table, row_count = calls.sparkSession.createDataFrame(rows, schemas.PRICES), len(rows)
     else:
-        table, row_count = prices, None
+        table, row_count = prices.select("model", "input_per_1k", "output_per_1k"), None
     priced = left_join_dimension(
         calls, table, "model", ["session_id", "call_seq"], row_count=row_count
     )

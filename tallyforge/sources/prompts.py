@@ -12,11 +12,12 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(prompt_idx, prompt) of a batch file, a folder or a glob of batch files.
 
     A batch file is one JSON array, thus one task; many files read in parallel and
-    partition columns of the folder (a batch id, say) are kept.
+    partition columns of the folder (a batch id, say) are kept.  A broken file fails
+    the job.
     """
     files = spark.read.text(path, wholetext=True)
     kept = [c for c in files.columns if c != "value"]
-    prompts = F.from_json(F.col("value"), "ARRAY<STRING>")
+    prompts = F.from_json(F.col("value"), "ARRAY<STRING>", {"mode": "FAILFAST"})
     return files.select(*kept, F.posexplode(prompts).alias("prompt_idx", "prompt"))
 
 

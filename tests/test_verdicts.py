@@ -35,14 +35,15 @@ HAND = [
     '{"winner": "a",}', '{"m": {"correctness": 1}, "notes": "x"}', '{"m": [1], "winner": "q"}',
     '{"m": null}', '{"winner": null, "m": {}}', '{"winner": "\\u00e9\\n"}', '{"winner": "a\nb"}',
     '{"winner": 01}', '{"m": {"winner": "inner"}}', '```json\n{"winner": "a"}\n```', '{"winner": ""}',
-    '{"m": {"correctness": "}"}, "winner": "w"}', "", '{"winner": "a"} // }',
+    '{"m": {"correctness": NaN, "relevance": -Infinity}, "winner": "NaN \\" Infinity"}', '{"m": {"x": -NaN}}',
+    '{"n": NaN}', '{"m": {"correctness": "}"}, "winner": "w"}', "", '{"winner": "a"} // }',
 ]
 
 
 def cases():
     rng = random.Random(11)
     parts = ['{', '}', '"winner": "a"', '"m": {"correctness": 4}', ',', ' ', '"n": 1', '[', ']',
-             'text', '"winner": null', '\n']
+             'text', '"winner": null', '\n', 'NaN', '"k": Infinity', '"']
     made = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)]
     return HAND + made
 

@@ -91,8 +91,8 @@ select *, case when status = 'evaluated' then passed_n end as passed,
   cast(case when status = 'evaluated' then {round_score} else 0 end as decimal(6,3)) as score
 from mixed""",
     "ranked": """
-select prompt_id, model, model_pos, score, row_number() over (partition by prompt_id order by
-  case when status = 'evaluated' then score else -1 end desc, model_pos) as place
+select prompt_id, model, model_pos, score, cast(row_number() over (partition by prompt_id order by
+  case when status = 'evaluated' then score else -1 end desc, model_pos) as integer) as place
 from scored""",
     "code_won": "select prompt_id, model as winner from ranked where place = 1",
     "verdicts": """
@@ -265,7 +265,8 @@ def _filled(template: str, **values: str) -> str:
 
 
 SCORE_COLUMNS = "select prompt_id, model, model_pos, status, passed, failed, style_score, score from scored"
-LISTED = "select row_number() over (partition by {k} order by {o}) - 1 as line_no, {k}, line from lines"
+LISTED = ("select cast(row_number() over (partition by {k} order by {o}) - 1 as integer) as line_no,"
+          " {k}, line from lines")
 
 ORACLES = {
     "code_scores": sql(SCORE_COLUMNS, "scored"),
