@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.let import let
+
 # Every character Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -17,6 +19,7 @@ FENCE = "```"
 FENCE_LANGUAGE = "python"
 DROPPED_TEST_LINES = r"(?md)^(?:import|from.*import|```).*\n?"
 RUN_COUNT_LINE = r"(?md)^{label}:([^:\n]*)"
+INTEGER = r"\A[+-]?[0-9]+(?:_[0-9]+)*\z"
 LINT_RATING = r"rated at ([0-9\.]+)/10"
 
 
@@ -64,11 +67,13 @@ def assert_count(text: Column) -> Column:
 
 def _reported_count(stdout: Column, label: str) -> Column:
     found = F.regexp_extract_all(stdout, F.lit(RUN_COUNT_LINE.format(label=label)), F.lit(1))
-    fields = F.transform(found, strip)
-    numeric = F.forall(fields, lambda v: F.rlike(v, F.lit(r"\A[+-]?[0-9]+(?:_[0-9]+)*\z")))
-    last = F.try_element_at(fields, F.lit(-1))
-    value = F.regexp_replace(last, "_", "").try_cast("int")
-    return F.when(F.size(fields) == 0, F.lit(0)).when(numeric, value)
+
+    def last(fields: Column) -> Column:
+        numeric = F.forall(fields, lambda v: F.rlike(v, F.lit(INTEGER)))
+        value = F.regexp_replace(F.try_element_at(fields, F.lit(-1)), "_", "")
+        return F.when(F.size(fields) == 0, F.lit(0)).when(numeric, value.try_cast("int"))
+
+    return let(F.transform(found, strip), last)
 
 
 def run_output_counts(stdout: Column) -> Column:
@@ -77,14 +82,13 @@ def run_output_counts(stdout: Column) -> Column:
     No ``PASSED:`` anywhere gives (0, 0).  The last line of a kind counts; a count
     that is no integer makes the whole struct NULL, which is status ``error``.
     """
-    passed = _reported_count(stdout, "PASSED")
-    failed = _reported_count(stdout, "FAILED")
-    none = F.struct(F.lit(0).alias("passed"), F.lit(0).alias("failed"))
-    return (
-        F.when(~F.contains(F.coalesce(stdout, F.lit("")), F.lit("PASSED:")), none)
-        .when(passed.isNotNull() & failed.isNotNull(),
-              F.struct(passed.alias("passed"), failed.alias("failed")))
+    read = F.struct(
+        _reported_count(stdout, "PASSED").alias("passed"),
+        _reported_count(stdout, "FAILED").alias("failed"),
     )
+    integers = let(read, lambda c: F.when(c["passed"].isNotNull() & c["failed"].isNotNull(), c))
+    none = F.struct(F.lit(0).alias("passed"), F.lit(0).alias("failed"))
+    return F.when(F.contains(stdout, F.lit("PASSED:")), integers).otherwise(none)
 
 
 def lint_rating(stdout: Column) -> Column:

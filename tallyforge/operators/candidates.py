@@ -64,21 +64,30 @@ def candidates_from_reports(
 
     `reports` (prompt_id, model, lint_stdout, report_json, avg_complexity) and `runs`
     (prompt_id, model, stdout) have one row per answer; all three tables meet on the
-    same keys.  Candidates are compiled here unless `reports` has `syntax_ok`.
+    same keys.  Candidates are compiled here unless `reports` has `syntax_ok`.  Every
+    text is reduced to its few values below the joins, so these shuffle narrow rows.
     """
     keys = ["prompt_id", "model"]
     allow_duplicate_keys(responses.sparkSession)
-    joined = responses.join(reports, keys, "left").join(runs, keys, "left")
-    if "syntax_ok" not in reports.columns:
-        joined = joined.withColumn("syntax_ok", syntax_ok(extract_code(F.col("response"))))
-    return joined.select(
-        *responses.columns,
-        "syntax_ok",
+    compiled = "syntax_ok" not in reports.columns
+    answers = responses
+    if compiled:
+        answers = answers.withColumn("syntax_ok", syntax_ok(extract_code(F.col("response"))))
+    read_reports = reports.select(
+        *keys, *([] if compiled else ["syntax_ok"]), "avg_complexity",
         security_issue_count(F.col("report_json")).alias("security_issues"),
         F.col("report_json").alias("bandit_output"),
-        F.coalesce(lint_rating(F.col("lint_stdout")), F.lit(0.0)).alias("rating"),
+        lint_rating(F.col("lint_stdout")).alias("rating"),
+    )
+    read_runs = runs.filter("stdout IS NOT NULL").select(
+        *keys, run_output_counts(F.col("stdout")).alias("tests")
+    )
+    joined = answers.join(read_reports, keys, "left").join(read_runs, keys, "left")
+    return joined.select(
+        *responses.columns, "syntax_ok", "bandit_output", "tests",
+        F.coalesce("security_issues", F.lit(0)).alias("security_issues"),
+        F.coalesce("rating", F.lit(0.0)).alias("rating"),
         F.coalesce("avg_complexity", F.lit(0.0)).alias("avg_complexity"),
-        F.when(F.col("stdout").isNotNull(), run_output_counts(F.col("stdout"))).alias("tests"),
     )
 
 
