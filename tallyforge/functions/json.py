@@ -54,13 +54,13 @@ def strict_json(text: Column) -> Column:
     """
     seal = F.hex(F.xxhash64(text))
     sealed = F.concat(F.lit("["), _finite(text), F.lit(',"'), seal, F.lit('"]'))
-    parsed = F.try_parse_json(sealed).try_cast("array<variant>")
 
     def value(parts: Column) -> Column:
-        whole = (F.size(parts) == 2) & (F.get(parts, F.lit(1)).try_cast("string") == seal)
-        return F.when(whole, F.get(parts, F.lit(0)))
+        closed = F.try_variant_get(parts, "$[1]", "string") == seal
+        more = F.try_variant_get(parts, "$[2]", "variant").isNotNull()
+        return F.when(closed & ~more, F.try_variant_get(parts, "$[0]", "variant"))
 
-    return let(parsed, value)
+    return let(F.try_parse_json(sealed), value)
 
 
 def extract_json(text: Column) -> Column:

@@ -22,7 +22,11 @@ def model_entries(parsed: Column) -> Column:
 
 
 def all_entries_are_objects(parsed: Column) -> Column:
-    return F.forall(F.map_values(model_entries(parsed)), is_object)
+    others = F.map_filter(
+        parsed.try_cast("map<string,variant>"),
+        lambda k, v: ~k.isin(*RESERVED_VERDICT_KEYS) & ~is_object(v),
+    )
+    return F.size(others) == 0
 
 
 def field(parsed: Column, name: str) -> Column:

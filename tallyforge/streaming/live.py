@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge import schemas
 from tallyforge.operators.cost import cost_rollup, price_calls
@@ -50,12 +51,16 @@ def run_updates(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """Drain what has arrived; return the latest row per key.
 
     Each micro-batch writes the rows that changed into its own folder, so one that is
-    repeated after a failure overwrites itself.
+    repeated after a failure overwrites itself.  An empty batch before the first makes
+    the table readable where nothing has arrived yet.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/updates/{_BATCH}={batch_id}")
 
+    spark = stream.sparkSession
+    write(spark.createDataFrame([], stream.schema), -1)
+
     query = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", f"{path}/state")
@@ -64,8 +69,8 @@ def run_updates(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    spark = stream.sparkSession
-    updates = spark.read.option("basePath", f"{path}/updates").parquet(f"{path}/updates")
+    with_batch = T.StructType([*stream.schema.fields, T.StructField(_BATCH, T.LongType())])
+    updates = spark.read.schema(with_batch).parquet(f"{path}/updates")
     return last_per_key(updates, keys, [_BATCH]).drop(_BATCH)
 
 

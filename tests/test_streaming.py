@@ -51,3 +51,13 @@ def test_live_tally_equals_the_batch_tally(spark):
     got = live.run_updates(live.live_win_tally(arriving), out, ["winner"]).collect()
     expected = W.win_tally(spark.read.parquet(path)).collect()
     assert sorted((r.winner, r.wins, r.first_win) for r in got) == sorted(tuple(r) for r in expected)
+
+
+def test_an_idle_stream_gives_empty_tables(spark):
+    log = scratch_path(spark, "log")
+    calls(spark, 0, 0).write.parquet(log)
+    rollup = live.run_updates(
+        live.live_cost_rollup(stream(spark, log)), scratch_path(spark, "rollup"), ["session_id", "book", "model"])
+    assert rollup.count() == 0
+    windows = live.cost_per_window(stream(spark, log), "1 hour", "10 minutes")
+    assert live.run_appends(windows, scratch_path(spark, "windows")).count() == 0
