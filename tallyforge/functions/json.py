@@ -17,9 +17,15 @@ def json_span(text: Column) -> Column:
     """Text from the first ``{`` to the last ``}``; NULL when there is none."""
     first = F.instr(text, "{")
     last = F.length(text) - F.length(F.substring_index(text, "}", -1))
-    return F.when(
-        (first > 0) & (last > first), F.substring(text, first, last - first + 1)
-    )
+    ends = F.struct(first.alias("first"), last.alias("last"))
+
+    def cut(at: Column) -> Column:
+        length = at["last"] - at["first"] + 1
+        return F.when(
+            (at["first"] > 0) & (length > 1), F.substring(text, at["first"], length)
+        )
+
+    return let(ends, cut)
 
 
 # Numbers that Python reads in JSON and Spark does not.
@@ -27,7 +33,7 @@ NOT_FINITE = ("-Infinity", "Infinity", "NaN")
 STRING_OR_REST = r'"(?:[^"\\]++|\\.)*+"|[^"]++|"'
 
 
-def _finite(text: Column) -> Column:
+def finite_numbers(text: Column) -> Column:
     """`text` with non-finite numbers, outside strings, as null."""
 
     def nulled(part: Column) -> Column:
@@ -46,14 +52,12 @@ def _finite(text: Column) -> Column:
 def strict_json(text: Column) -> Column:
     """The JSON value that `text` as a whole is, else NULL.
 
-    A number that is not finite reads as null.
-
     Spark's parser stops at the end of the first value and drops what follows.  A
     closing element holding the text's own hash, which must be read back, shows
     that nothing was dropped and that there was one value only.
     """
     seal = F.hex(F.xxhash64(text))
-    sealed = F.concat(F.lit("["), _finite(text), F.lit(',"'), seal, F.lit('"]'))
+    sealed = F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]'))
 
     def value(parts: Column) -> Column:
         closed = F.try_variant_get(parts, "$[1]", "string") == seal
@@ -63,16 +67,12 @@ def strict_json(text: Column) -> Column:
     return let(F.try_parse_json(sealed), value)
 
 
-def extract_json(text: Column) -> Column:
-    """The one JSON object inside a judge's answer, else NULL."""
-    return strict_json(json_span(text))
-
-
 def is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
 def security_issue_count(report: Column) -> Column:
     """Length of ``results`` in a scanner report; 0 for no or broken JSON."""
-    results = F.try_variant_get(strict_json(report), "$.results", "array<variant>")
+    parsed = strict_json(finite_numbers(report))
+    results = F.try_variant_get(parsed, "$.results", "array<variant>")
     return F.coalesce(F.size(results), F.lit(0))

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import verdict as V
-from tallyforge.functions.json import allow_duplicate_keys, json_span, strict_json
+from tallyforge.functions.json import (
+    allow_duplicate_keys,
+    finite_numbers,
+    json_span,
+    strict_json,
+)
+from tallyforge.functions.let import let
 from tallyforge.functions.scoring import ERROR, EVALUATED
 from tallyforge.operators.binding import bind
 from tallyforge.settings import RESERVED_VERDICT_KEYS
@@ -15,7 +21,7 @@ from tallyforge.settings import RESERVED_VERDICT_KEYS
 def _opened(answers: DataFrame, text: str) -> DataFrame:
     """Add `json_text` and `parsed`; each answer is searched and parsed once."""
     allow_duplicate_keys(answers.sparkSession)
-    spans = bind(answers, json_text=json_span(F.col(text)))
+    spans = bind(answers, json_text=let(json_span(F.col(text)), finite_numbers))
     return bind(spans, parsed=strict_json(F.col("json_text")))
 
 

@@ -108,6 +108,12 @@ def test_text_report_lines(spark):
     ]
 
 
+def test_report_of_marks_that_are_no_numbers(spark):
+    rows = judged(spark, ['{"b": {"correctness": NaN}, "a": {}}']).withColumn("models", F.array(F.lit("b")))
+    lines = [r.line for r in R.text_report(rows).orderBy("line_no").collect()]
+    assert lines[1:3] == ["B ANALYSIS:", "   Correctness: None/5"] and lines[4] == "A ANALYSIS:"
+
+
 def test_security_issue_count(spark):
     allow_duplicate_keys(spark)
     cases = {
