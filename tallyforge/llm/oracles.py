@@ -1,3 +1,37 @@
 """DuckDB SQL for the queries it can express."""
 
 ORACLES = {}
+
+_CHUNKS = """
+lines as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
+  from documents where text is not null),
+hashed as (
+  select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from lines),
+rolled as (
+  select *, h + 31 * lag(h) over (partition by doc_id order by i) as r from hashed),
+ended as (
+  select *, coalesce(r % 4 = 0, false) as is_end from rolled),
+numbered as (
+  select *, coalesce(sum(is_end::int) over (
+    partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
+  from ended),
+chunks as (
+  select doc_id, chunk, min(i) as start, count(*) as n, string_agg(line, chr(10) order by i) as piece
+  from numbered group by doc_id, chunk),
+ranked as (
+  select *, row_number() over (partition by piece order by doc_id, start) as place from chunks),
+gone as (select doc_id, chunk from ranked where n >= 2 and place > 1)
+"""
+
+ORACLES["op3_line_chunks"] = f"""
+with {_CHUNKS}
+select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed_lines, 0) as n_removed_lines,
+       sha256(coalesce(k.kept, '')) as kept_sha256
+from documents d left join (
+  select l.doc_id, count(*) as n_lines, count(g.chunk) as n_removed_lines,
+         string_agg(l.line, chr(10) order by l.i) filter (g.chunk is null) as kept
+  from numbered l left join gone g using (doc_id, chunk) group by l.doc_id) k using (doc_id)
+"""
+

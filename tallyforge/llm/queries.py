@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import encode_texts, read_tokenizer
 from tallyforge.llm.license_scan import scan_licenses
+from tallyforge.llm.line_chunks import dedup_lines
 from tallyforge.llm.sharding import shard_documents
 
 QUERIES = {}
@@ -27,6 +28,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op3_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed_lines",
+        F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
