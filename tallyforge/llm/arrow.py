@@ -9,12 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 2048
 
 
 def text_blocks(
-    batches: Iterable[pa.RecordBatch], text_col: str, limit: int = BLOCK_BYTES
+    batches: Iterable[pa.RecordBatch], text_col: str, limit: int = BLOCK_BYTES,
+    max_rows: int = BLOCK_ROWS,
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in blocks of at most `limit` text bytes, or of one row."""
+    """The same rows in blocks of at most `limit` text bytes and `max_rows` rows, or of
+    one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -24,6 +27,7 @@ def text_blocks(
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(stop, start + max_rows)
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm import knn_quality, toxicity
 from tallyforge.llm.bpe import encode_texts, read_tokenizer
+from tallyforge.llm.edit_match import match_items
+from tallyforge.llm.labelled import id_remainder
 from tallyforge.llm.license_scan import scan_licenses
 from tallyforge.llm.line_chunks import dedup_lines
 from tallyforge.llm.sharding import shard_documents
@@ -69,3 +72,39 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _predicted(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, _table(spark, sf, "labels"), ~held_out)
+    return _predicted(toxicity.score_toxicity(docs, model), held_out)
+
+
+@query
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = knn_quality.fit(docs, _table(spark, sf, "labels"), ~held_out)
+    return _predicted(knn_quality.score_quality(docs, model), held_out)
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per document: the items it holds and the least distance."""
+    matched = match_items(
+        _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark")
+    )
+    return matched.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_items"),
+        F.array_sort("matches.item").alias("items"),
+        F.array_min("matches.distance").alias("least_distance"),
+    )
