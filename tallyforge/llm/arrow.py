@@ -74,3 +74,38 @@ def word_spans(
     after[:-1] = is_word[1:]
     ends = np.flatnonzero(is_word & (~after | cut[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def whole_groups(
+    batches: Iterable[pa.RecordBatch], keys: list[str], limit: int = 1 << 16
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, with the first row of each group and the
+    number of rows at the end.  A table holds some `limit` rows, or one larger group."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = _group_starts(table, keys)
+        last = int(starts[-1])
+        held, rows = table.slice(last).to_batches(), table.num_rows - last
+        if last:
+            yield table.slice(0, last), starts
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(_group_starts(table, keys), table.num_rows)
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(table.num_rows, bool)
+    changed[0] = True
+    for key in keys:
+        values = table.column(key)
+        differs = pc.not_equal(values.slice(1), values.slice(0, table.num_rows - 1))
+        changed[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)

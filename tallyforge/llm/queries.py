@@ -12,6 +12,7 @@ from tallyforge.llm.labelled import id_remainder
 from tallyforge.llm.license_scan import scan_licenses
 from tallyforge.llm.line_chunks import dedup_lines
 from tallyforge.llm.sharding import shard_documents
+from tallyforge.llm.vector_lsh import near_vectors
 
 QUERIES = {}
 
@@ -89,6 +90,11 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _predicted(toxicity.score_toxicity(docs, model), held_out)
 
 
+@query
+def op7_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")

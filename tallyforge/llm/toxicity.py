@@ -31,7 +31,7 @@ LABELLED_PER_CLASS = 5000
 CELL_BITS = 18
 L1 = 2e-4
 COUNTERFACTUAL = 1.0
-STEPS = 300
+STEPS = 800
 
 #: Categories of identity terms; a term is swapped for the next one in its row.
 IDENTITY_TERMS = (
@@ -142,6 +142,10 @@ def fit_rows(
         share = (y.sum() + 0.5) / (n + 1)
         return Model(np.zeros(width, np.float32), float(np.log(share / (1 - share))))
     frequency = np.bincount(cells, minlength=width)
+    # A word of one sampled text alone says nothing about others.
+    kept = frequency[cells] > 1
+    bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+    cells = cells[kept]
     scale = np.log((1 + n) / (1 + frequency))
     x = Rows(cells, scale[cells], bounds)
     pairs = counterfactual_rows(x, scale)
