@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import knn_quality, toxicity
 from tallyforge.llm.bpe import encode_texts, read_tokenizer
 from tallyforge.llm.edit_match import match_items
+from tallyforge.llm.jaccard_join import jaccard_components
 from tallyforge.llm.labelled import id_remainder
 from tallyforge.llm.license_scan import scan_licenses
 from tallyforge.llm.line_chunks import dedup_lines
@@ -32,6 +33,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = jaccard_components(docs, size=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query
 def op3_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
