@@ -80,12 +80,11 @@ def whole_groups(
     batches: Iterable[pa.RecordBatch], keys: list[str], limit: int = 1 << 16
 ) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted rows in tables of whole groups, with the first row of each group and the
-    number of rows at the end.  A table holds some `limit` rows, or one larger group."""
+    number of rows at the end.  A table holds at most twice `limit` rows, or one group."""
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    pieces = (b.slice(i, limit) for b in batches for i in range(0, b.num_rows, limit))
+    for batch in pieces:
         held.append(batch)
         rows += batch.num_rows
         if rows < limit:

@@ -13,6 +13,7 @@ from tallyforge.llm.labelled import id_remainder
 from tallyforge.llm.license_scan import scan_licenses
 from tallyforge.llm.line_chunks import dedup_lines
 from tallyforge.llm.sharding import shard_documents
+from tallyforge.llm.suffix_dedup import remove_repeats
 from tallyforge.llm.vector_lsh import near_vectors
 
 QUERIES = {}
@@ -33,6 +34,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
