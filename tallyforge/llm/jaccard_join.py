@@ -251,8 +251,11 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
     percent: int = 90, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """A row per row of `docs`: `id`, key, n_shingles and component_id, the least id that
-    can be reached by links."""
+    """A row per row of `docs`: `id`, key, n_shingles, component_id (the least id that can
+    be reached by links) and `group` (a number of the component, null for an empty set).
+
+    Where all ids of a component are null, so is its component_id; `group` is not.
+    """
     sets = materialize(document_sets(docs, id_col, text_col, size, percent), "jaccard-docs")
     firsts = sets.filter(F.col("signature").isNotNull()).groupBy("signature").agg(
         F.min("id").alias("least"),
@@ -294,10 +297,12 @@ def jaccard_components(
         members = members.withColumn("component", F.lit(None).cast("long"))
     members = members.withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = members.join(least, "component").select("signature", "component_id")
+    classes = members.join(least, "component").select(
+        "signature", "component_id", F.col("component").alias("group")
+    )
     return sets.select("id", KEY, "n", "signature").join(classes, "signature", "left").select(
         "id", KEY, F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"), "group",
     )
 
 
@@ -357,16 +362,17 @@ def _cross_pairs(shared, groups, tried, percent):
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without those that are not the first of their component.
+    """The rows of `docs` that are the first of their component, columns unchanged.
 
-    The first is the one with the least id, then the least key; of rows with equal id
-    and text one stays.
+    The first is the one with the least id (null before all), then the least key; of rows
+    with equal id and text one stays.  Rows without n-grams all stay.
     """
-    groups = jaccard_components(docs, id_col, text_col, **options)
-    firsts = groups.groupBy("component_id", F.col("n_shingles") == 0).agg(
+    found = jaccard_components(docs, id_col, text_col, **options)
+    firsts = found.filter(F.col("group").isNotNull()).groupBy("group").agg(
         F.min(F.struct("id", KEY)).alias("first")
-    )
-    empty = groups.filter("n_shingles = 0").select("id", KEY)
-    kept = firsts.filter(~F.col("(n_shingles = 0)")).select("first.*").unionByName(empty).distinct()
+    ).select(f"first.{KEY}")
+    others = found.filter(F.col("group").isNull()).select(KEY)
+    kept = firsts.unionByName(others).distinct()
     keyed = docs.withColumn(KEY, row_key(id_col, text_col))
-    return keyed.join(kept.select(KEY), KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    with_grams = keyed.join(kept, KEY, "left_semi")
+    return with_grams.dropDuplicates([KEY]).select(*docs.columns)

@@ -201,11 +201,13 @@ def fit(
     return Model(idf, axes, project(x, axes) if len(x) else np.zeros((0, 1), np.float32), y)
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` plus `score` (0 to 1); an own column of that name is replaced."""
+def score_quality(
+    docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score"
+) -> DataFrame:
+    """`docs` plus `score_col` (0 to 1); an own column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "score"]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
+    kept = [c for c in docs.columns if c != score_col]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -213,7 +215,15 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             counts = term_counts(*text_bytes(block.column(text_col)))
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(c) for c in kept], pa.array(model.score(counts), pa.float64())],
-                [*kept, "score"],
+                [*kept, score_col],
             )
 
     return docs.select(*kept).mapInArrow(run, schema)
+
+
+def keep_quality(
+    docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7
+) -> DataFrame:
+    """The rows of `docs` that score `least` or more; columns unchanged."""
+    scored = score_quality(docs, model, text_col, "__quality")
+    return scored.filter(F.col("__quality") >= least).select(*docs.columns)
