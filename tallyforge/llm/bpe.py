@@ -37,6 +37,40 @@ _NONE = 1 << 60
 #: Unicode White_Space.
 _SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _SPACES = regex.compile(f"[{_SPACE}]+")
+#: Code points (first, last) that this `regex` counts as letters or numbers
+#: and the tokenizer library, whose tables are those of Unicode 16, does not.
+_NOT_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC),
+    (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+_NOT_NUMBERS = (
+    (0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16FF4, 0x16FF6),
+)
+#: Capitals (first, last, distance to the small letter) that the library
+#: knows and this Python's tables do not.
+_MORE_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561),
+    (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+_LOWER = {c: c + d for a, b, d in _MORE_CAPITALS for c in range(a, b + 1)}
+_CAPITALS = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _MORE_CAPITALS) + "]")
+
+
+def _class(name: str, without: tuple) -> str:
+    """A character class less some ranges, as a set that nests in others."""
+    return rf"[\p{{{name}}}--[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in without) + "]]"
 
 
 def byte_characters() -> list[str]:
@@ -73,7 +107,12 @@ class WordTokenizer:
             p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"]
             if p["type"] == "Split"
         )
-        self.pattern = regex.compile(pattern.replace(r"\s", _SPACE))
+        for name, own in (
+            (r"\s", f"[{_SPACE}]"), (r"\p{L}", _class("L", _NOT_LETTERS)),
+            (r"\p{N}", _class("N", _NOT_NUMBERS)),
+        ):
+            pattern = pattern.replace(name, own)
+        self.pattern = regex.compile(pattern, regex.V1)
         chars = byte_characters()
         self.first = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.suffix] for c in chars]
@@ -159,6 +198,8 @@ class WordTokenizer:
         text = unicodedata.normalize("NFC", text)
         # Lower case is taken letter by letter: no final form of sigma.
         text = text.replace("Σ", "σ").lower()
+        if not text.isascii() and _CAPITALS.search(text):
+            text = text.translate(_LOWER)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             chunks = [c for c in _SPACES.split(text) if c]
         else:

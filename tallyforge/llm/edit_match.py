@@ -184,6 +184,7 @@ def _apply(rows, block, kept, text_col, schema, arrow, error_rate):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that hold no item within its error budget; columns unchanged."""
-    matched = match_items(docs.drop("matches"), items, text_col, **options)
-    clean = matched.filter(F.size("matches") == 0)
-    return clean.select(*[c for c in docs.columns if c != "matches"])
+    own = "__own_matches"
+    named = docs.withColumnRenamed("matches", own)
+    clean = match_items(named, items, text_col, **options).filter(F.size("matches") == 0)
+    return clean.drop("matches").withColumnRenamed(own, "matches").select(*docs.columns)

@@ -21,7 +21,7 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-_V = r"(?: version| v)?"
+_V = r"(?: licen[cs]e)?(?: version| v)?"
 
 #: label, pattern of the name, keyword
 FAMILIES = (

@@ -3,9 +3,9 @@
 A text is the set of its lower-cased words, hashed to cells.  A logistic model is
 fitted on a bounded sample of labelled rows (`LABELLED_PER_CLASS` of each label) by
 accelerated proximal gradient with an L1 penalty.  For each labelled text that names a
-group, a counterfactual swaps every identity term for the next one of its category, and
-the squared change of the score is penalised.  A neutral mention then gets no weight of
-its own, whatever company it keeps in the sample.
+group, counterfactuals swap every identity term for the next one of its category, and for
+no term at all; the squared change of the score is penalised for both.  A neutral
+mention then gets no weight of its own, whatever company it keeps in the sample.
 
 The weights have a fixed size and are broadcast; scoring needs no shuffle.  Nulls and
 empty texts score as a text without words.  Without labelled rows of both kinds every
@@ -99,22 +99,24 @@ class Rows(NamedTuple):
         return np.bincount(self.cells, each, minlength=width)
 
 
-def counterfactual_rows(rows: Rows, scale: np.ndarray) -> Rows:
-    """Text minus its counterfactual, for each row that names a group."""
-    swap = swapped_cells()
+def counterfactual_rows(
+    rows: Rows, scale: np.ndarray, swap: dict[int, int]
+) -> Rows:
+    """Text minus each of its counterfactuals, for each row that names a group."""
     named = np.flatnonzero(np.isin(rows.cells, np.fromiter(swap, np.int64)))
     cells, values, bounds = [], [], [0]
     for row in np.unique(np.searchsorted(rows.bounds, named, "right") - 1):
         own = set(rows.cells[rows.bounds[row] : rows.bounds[row + 1]].tolist())
         terms = {c for c in own if c in swap}
-        other = (own - terms) | {swap[c] for c in terms}
-        for c in own - other:
-            cells.append(c)
-            values.append(scale[c])
-        for c in other - own:
-            cells.append(c)
-            values.append(-scale[c])
-        bounds.append(len(cells))
+        for instead in ({swap[c] for c in terms}, set()):
+            other = (own - terms) | instead
+            for c in own - other:
+                cells.append(c)
+                values.append(scale[c])
+            for c in other - own:
+                cells.append(c)
+                values.append(-scale[c])
+            bounds.append(len(cells))
     return Rows(np.array(cells, np.int64), np.array(values, float), np.array(bounds))
 
 
@@ -137,18 +139,23 @@ def fit_rows(
     Cells are scaled by their inverse document frequency in the sample, so that very
     common words neither dominate the step size nor the score.
     """
-    width, n = 1 << CELL_BITS, len(y)
+    n, weights = len(y), np.zeros(1 << CELL_BITS, np.float32)
     if n == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1)
-        return Model(np.zeros(width, np.float32), float(np.log(share / (1 - share))))
-    frequency = np.bincount(cells, minlength=width)
+        return Model(weights, float(np.log(share / (1 - share))))
     # A word of one sampled text alone says nothing about others.
-    kept = frequency[cells] > 1
+    kept = np.bincount(cells, minlength=len(weights))[cells] > 1
     bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
     cells = cells[kept]
-    scale = np.log((1 + n) / (1 + frequency))
+    # Work with the cells that occur or are swapped in, numbered from 0.
+    swap = swapped_cells()
+    used = np.union1d(cells, np.array([*swap, *swap.values()]))
+    number = {int(c): i for i, c in enumerate(used.tolist())}
+    swap = {number[a]: number[b] for a, b in swap.items()}
+    cells, width = np.searchsorted(used, cells), len(used)
+    scale = np.log((1 + n) / (1 + np.bincount(cells, minlength=width)))
     x = Rows(cells, scale[cells], bounds)
-    pairs = counterfactual_rows(x, scale)
+    pairs = counterfactual_rows(x, scale, swap)
     m = max(len(pairs.bounds) - 1, 1)
     # One weight per label, so that either half of the sample counts alike.
     each = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -181,7 +188,8 @@ def fit_rows(
         at_w = new_w + (t - 1) / new_t * (new_w - w)
         at_b = new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new_w, new_b, new_t
-    return Model((w * scale).astype(np.float32), float(b))
+    weights[used] = w * scale
+    return Model(weights, float(b))
 
 
 def fit(
