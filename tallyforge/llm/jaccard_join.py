@@ -165,11 +165,15 @@ def document_sets(
 
 
 def _passes(percent: int):
-    """Length and positional filter of a row with n, pos and other_n, other_pos."""
+    """Length and positional filter of a row with n, pos and other_n, other_pos.
+
+    Both sets are in one order, so before the first n-gram that a pair shares it shares
+    none: that one and what follows it on the shorter side must be enough.  A pair that
+    links passes at its first shared n-gram at least.
+    """
     n, m = F.col("n"), F.col("other_n")
-    i, j = F.col("pos"), F.col("other_pos")
     length = (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    most = F.least(n - F.col("pos"), m - F.col("other_pos"))
     return length & ((100 + percent) * most >= percent * (n + m))
 
 
@@ -267,9 +271,11 @@ def jaccard_components(
         ), "jaccard-nodes",
     )
     grams = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    # One member of each n-gram is its pivot; n-grams with one member end here.
+    # One member of each n-gram is its pivot; n-grams with one member end here.  The member
+    # with the n-gram nearest to the front has the fewest rarer ones: of copies with edits,
+    # the one closest to the original.
     pivots = grams.groupBy("gram").agg(
-        F.min(F.struct("n", "node", "pos")).alias("pivot"), F.count("*").alias("members")
+        F.min(F.struct("pos", "n", "node")).alias("pivot"), F.count("*").alias("members")
     ).filter("members > 1")
     shared = materialize(
         grams.join(pivots.select("gram", "pivot"), "gram"), "jaccard-grams"
@@ -323,7 +329,7 @@ def _star_pairs(shared, groups, tried, turn, percent):
     """For each node the pivot in another component that it shares most n-grams with."""
     rows = _with_groups(shared, groups)
     if turn:
-        order = F.xxhash64("component", F.lit(turn))
+        order = F.col("pos") + F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(2 * turn))
         pivots = rows.groupBy("gram").agg(
             F.min(F.struct(order.alias("o"), "n", "node", "pos", "component")).alias("pivot"),
             F.min("component").alias("low"), F.max("component").alias("high"),
