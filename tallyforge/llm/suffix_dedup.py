@@ -187,86 +187,116 @@ def _runs(owner: np.ndarray, offset: np.ndarray, length: int) -> Iterator[tuple[
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_PIECE_SCHEMA = "anchor bigint, d1 bigint, d2 bigint, runs array<struct<first:int,last:int>>"
+_RUN_FIELDS = ("pieces", "owner", "offset", "marks", "alone")
 _SHARD_SCHEMA = (
-    "anchor bigint, d1 bigint, d2 bigint, runs array<struct<first:int,last:int>>,"
-    " shard int, offset int, w1 bigint, w2 bigint, alone boolean"
+    f"{_PIECE_SCHEMA}, shard int, slice int, " + ", ".join(f"{c} binary" for c in _RUN_FIELDS)
 )
+#: Shards whose runs one merging task takes a slice of.
+SHARDS_PER_SLICE = 4
+
+
+def _sorted_runs(marks: np.ndarray, slices: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each slice of the 128-bit marks, ascending."""
+    order = np.argsort(marks)
+    lead = np.frombuffer(marks.tobytes(), ">u8")[::2][order]
+    slice_of = (lead >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    cuts = np.searchsorted(slice_of, np.arange(slices + 1, dtype=np.uint64))
+    for k, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if low < high:
+            yield k, order[low:high]
 
 
 def _shard(length: int):
-    """Covered ranges of each piece; and for spread anchors one entry per class."""
+    """Covered ranges of each piece; for spread anchors also the shard's sorted runs, one
+    row per slice of values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, ["anchor", "shard"], SHARD_PIECES):
+        for table, starts in whole_groups(batches, ["anchor", "shard"], SHARD_PIECES):
             texts = table.column("piece").to_pylist()
             strings = table.column("strings").to_numpy().astype(np.int64)
             weights = table.column("weight").to_numpy().astype(np.int64)
-            spread = table.column("shards").to_numpy() > 1
+            shards = table.column("shards").to_numpy()
+            anchors, shard = table.column("anchor").to_numpy(), table.column("shard").to_numpy()
+            digests = np.stack([table.column(c).to_numpy() for c in ("d1", "d2")], axis=1)
             owner, offset, group, total = shard_classes(texts, strings, weights, length)
             repeated = total[group] > 1
             covered = list(_runs(owner[repeated], offset[repeated], length))
+            rows = [
+                (int(anchors[o]), *digests[o].tolist(), spans, None, None, *[None] * len(_RUN_FIELDS))
+                for o, spans in covered
+            ]
             first = np.ones(len(group), bool)
             first[1:] = group[1:] != group[:-1]
-            open_rows = np.flatnonzero(first & spread[owner])
-            marks = [
-                xxhash.xxh3_128_digest(texts[o][a : a + length])
-                for o, a in zip(owner[open_rows].tolist(), offset[open_rows].tolist(), strict=True)
-            ]
-            marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
-            rows = np.concatenate([
-                np.array([c[0] for c in covered], np.int64), owner[open_rows],
-            ])
-            none = [None] * len(covered)
-            names = ["anchor", "d1", "d2", "shard"]
-            columns = dict(zip(names, table.select(names).take(pa.array(rows)).columns, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[columns[c].combine_chunks() for c in names[:3]],
-                    pa.array([*[c[1] for c in covered], *[None] * len(open_rows)], _RUNS),
-                    columns["shard"].combine_chunks(),
-                    pa.array([*none, *offset[open_rows].tolist()], pa.int32()),
-                    pa.array([*none, *marks[:, 0].tolist()], pa.int64()),
-                    pa.array([*none, *marks[:, 1].tolist()], pa.int64()),
-                    pa.array([*none, *(total[group[open_rows]] < 2).tolist()], pa.bool_()),
-                ],
-                ["anchor", "d1", "d2", "runs", "shard", "offset", "w1", "w2", "alone"],
-            )
+            open_rows = np.flatnonzero(first & (shards[owner] > 1))
+            part = np.searchsorted(starts, owner[open_rows], "right")
+            for p in np.unique(part).tolist():
+                own = open_rows[part == p]
+                low, high = int(starts[p - 1]), int(starts[p])
+                marks = np.array([
+                    xxhash.xxh3_128_digest(texts[o][a : a + length])
+                    for o, a in zip(owner[own].tolist(), offset[own].tolist(), strict=True)
+                ], "S16")
+                slices = -(-int(shards[low]) // SHARDS_PER_SLICE)
+                for k, at in _sorted_runs(marks, slices):
+                    rows.append((
+                        int(anchors[low]), None, None, None, int(shard[low]), k,
+                        digests[low:high].tobytes(),
+                        (owner[own[at]] - low).astype("<i4").tobytes(),
+                        offset[own[at]].astype("<i4").tobytes(),
+                        marks[at].tobytes(),
+                        (total[group[own[at]]] < 2).tobytes(),
+                    ))
+            yield _batch(rows, True)
 
     return run
 
 
+def _batch(rows: list[tuple], with_runs: bool) -> pa.RecordBatch:
+    fields = [("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("runs", _RUNS)]
+    if with_runs:
+        fields += [("shard", pa.int32()), ("slice", pa.int32()), *[(c, pa.binary()) for c in _RUN_FIELDS]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], [n for n, _ in fields]
+    )
+
+
 def _merge(length: int):
-    """Entries that another shard's run holds too, found by binary search."""
+    """Ranges of strings that another shard's run holds too, found by binary search."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["anchor", "slice"], 1 << 14):
-            shard = table.column("shard").to_numpy()
-            marks = np.stack([table.column(c).to_numpy() for c in ("w1", "w2")], axis=1)
-            marks = np.ascontiguousarray(marks).view("S16").ravel()
-            hit = np.zeros(table.num_rows, bool)
+        for table, starts in whole_groups(batches, ["anchor", "slice"], 16):
+            anchors = table.column("anchor").to_pylist()
+            columns = {c: table.column(c).to_pylist() for c in _RUN_FIELDS}
+            out = []
             for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                # Rows are sorted by shard: a run for each shard.
-                cuts = [low, *(low + 1 + np.flatnonzero(np.diff(shard[low:high]))).tolist(), high]
-                seen, rows = marks[:0], np.zeros(0, np.int64)
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    own = a + np.argsort(marks[a:b])
-                    at = np.searchsorted(seen, marks[own])
-                    same = np.zeros(len(own), bool)
+                runs = [np.frombuffer(m, "S16") for m in columns["marks"][low:high]]
+                seen, at_run, at_row = runs[0][:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                hits = [np.zeros(len(r), bool) for r in runs]
+                for k, marks in enumerate(runs):
+                    at = np.searchsorted(seen, marks)
+                    same = np.zeros(len(marks), bool)
                     if len(seen):
                         near = np.minimum(at, len(seen) - 1)
-                        same = seen[near] == marks[own]
-                        hit[own[same]] = True
-                        hit[rows[near[same]]] = True
+                        same = seen[near] == marks
+                        hits[k] |= same
+                        for j in np.unique(at_run[near[same]]).tolist():
+                            found = near[same][at_run[near[same]] == j]
+                            hits[j][at_row[found]] = True
                     # What is new is merged in, so that each run is searched once.
-                    seen = np.insert(seen, at[~same], marks[own][~same])
-                    rows = np.insert(rows, at[~same], own[~same])
-            alone = table.column("alone").to_numpy(zero_copy_only=False).astype(bool)
-            found = np.flatnonzero(hit & alone)
-            offset = table.column("offset").to_numpy()[found]
-            part = table.take(pa.array(found)).select(["anchor", "d1", "d2"]).combine_chunks()
-            runs = [[{"first": int(o), "last": int(o) + length}] for o in offset]
-            yield pa.RecordBatch.from_arrays(
-                [*[c.combine_chunks() for c in part.columns], pa.array(runs, _RUNS)],
-                ["anchor", "d1", "d2", "runs"],
-            )
+                    new = np.flatnonzero(~same)
+                    seen = np.insert(seen, at[new], marks[new])
+                    at_run = np.insert(at_run, at[new], k)
+                    at_row = np.insert(at_row, at[new], new)
+                for k, hit in enumerate(hits):
+                    row = low + k
+                    alone = np.frombuffer(columns["alone"][row], bool)
+                    wanted = np.flatnonzero(hit & alone)
+                    owner = np.frombuffer(columns["owner"][row], "<i4")[wanted].astype(np.int64)
+                    offset = np.frombuffer(columns["offset"][row], "<i4")[wanted].astype(np.int64)
+                    digests = np.frombuffer(columns["pieces"][row], np.int64).reshape(-1, 2)
+                    out += [
+                        (anchors[row], *digests[o].tolist(), spans) for o, spans in _runs(owner, offset, length)
+                    ]
+            yield _batch(out, False)
 
     return run
 
@@ -303,12 +333,10 @@ def repeated_pieces(docs: DataFrame, length: int, anchor: int) -> tuple[DataFram
     # Repeated rows of a text give a piece twice, which only repeats what is repeated.
     shard = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "d1", "d2")
     found = materialize(shard.mapInArrow(_shard(length), _SHARD_SCHEMA), "suffix-shards")
-    slices = F.shiftright("w1", 56).cast("int").alias("slice")
-    open_rows = found.filter("runs is null").select(*piece, "shard", "offset", "w1", "w2", "alone", slices)
     merged = (
-        open_rows.repartition("anchor", "slice")
-        .sortWithinPartitions("anchor", "slice", "shard")
-        .mapInArrow(_merge(length), "anchor bigint, d1 bigint, d2 bigint, runs array<struct<first:int,last:int>>")
+        found.filter("runs is null").select("anchor", "shard", "slice", *_RUN_FIELDS)
+        .repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "shard")
+        .mapInArrow(_merge(length), _PIECE_SCHEMA)
     )
     covered = found.filter("runs is not null").select(*piece, "runs").unionByName(merged)
     # At most one range per string of a piece.
