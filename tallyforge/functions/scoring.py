@@ -41,7 +41,7 @@ def outcome_counts(outcome: Column, total_asserts: Column) -> Column:
     """``struct(passed, failed)`` of a recorded run; NULL for a timeout."""
 
     def counts(passed, failed):
-        return F.struct(passed.cast("int").alias("passed"), failed.cast("int").alias("failed"))
+        return F.struct(passed.cast("bigint").alias("passed"), failed.cast("bigint").alias("failed"))
 
     zero, ten = F.lit(0), F.lit(10)
     return (
@@ -85,8 +85,10 @@ def final_score(
 
 
 def status(syntax_ok: Column, counts: Column) -> Column:
+    """A candidate whose syntax was never checked (NULL) is not evaluated: ``error``."""
     return (
-        F.when(~syntax_ok, F.lit(SYNTAX_ERROR))
+        F.when(syntax_ok.isNull(), F.lit(ERROR))
+        .when(~syntax_ok, F.lit(SYNTAX_ERROR))
         .when(counts.isNull(), F.lit(ERROR))
         .otherwise(F.lit(EVALUATED))
     )

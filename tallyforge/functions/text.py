@@ -71,7 +71,8 @@ def _reported_count(stdout: Column, label: str) -> Column:
     def last(fields: Column) -> Column:
         numeric = F.forall(fields, lambda v: F.rlike(v, F.lit(INTEGER)))
         value = F.regexp_replace(F.try_element_at(fields, F.lit(-1)), "_", "")
-        return F.when(F.size(fields) == 0, F.lit(0)).when(numeric, value.try_cast("int"))
+        zero = F.lit(0).cast("bigint")
+        return F.when(F.size(fields) == 0, zero).when(numeric, value.try_cast("bigint"))
 
     return let(F.transform(found, strip), last)
 
@@ -87,7 +88,8 @@ def run_output_counts(stdout: Column) -> Column:
         _reported_count(stdout, "FAILED").alias("failed"),
     )
     integers = let(read, lambda c: F.when(c["passed"].isNotNull() & c["failed"].isNotNull(), c))
-    none = F.struct(F.lit(0).alias("passed"), F.lit(0).alias("failed"))
+    zero = F.lit(0).cast("bigint")
+    none = F.struct(zero.alias("passed"), zero.alias("failed"))
     return F.when(F.contains(stdout, F.lit("PASSED:")), integers).otherwise(none)
 
 

@@ -34,6 +34,26 @@ def field(parsed: Column, name: str) -> Column:
     return F.try_variant_get(parsed, f"$.{name}", "string")
 
 
+def truthy(value: Column) -> Column:
+    """True for a VARIANT that Python counts as true: no null, zero, false or empty value."""
+    kind = F.schema_of_variant(value)
+    text = value.try_cast("string")
+    held = (
+        F.when(kind == "STRING", text != "")
+        .when(kind == "BOOLEAN", text == "true")
+        .when(F.startswith(kind, F.lit("ARRAY")), text != "[]")
+        .when(F.startswith(kind, F.lit("OBJECT")), text != "{}")
+        .otherwise(value.try_cast("double") != 0)
+    )
+    return F.coalesce(held, F.lit(False))
+
+
+def told(parsed: Column, name: str) -> Column:
+    """A field as text where it is truthy, else empty."""
+    value = F.try_variant_get(parsed, f"$.{name}", "variant")
+    return F.when(truthy(value), field(parsed, name)).otherwise(F.lit(""))
+
+
 def shown(entry: Column, name: str, default: str = "N/A") -> Column:
     """A mark as a report prints it; an absent one prints as `default`."""
 

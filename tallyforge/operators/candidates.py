@@ -16,6 +16,7 @@ from tallyforge.settings import ScoreWeights
 
 # Error texts of rows that reached no result.
 TIMED_OUT = "test run timed out or reported no integer count"
+UNCHECKED = "syntax was not checked"
 
 
 def score_candidates(
@@ -26,14 +27,21 @@ def score_candidates(
     Reads ``syntax_ok, security_issues, rating, avg_complexity`` and `tests`, a
     struct(passed, failed) that is NULL where the run failed.  Optional:
     `bandit_output`, `error`.
+
+    An absent report counts as one that found nothing: NULL issues, rating and
+    complexity are 0, as a scanner or linter that printed nothing is read.  A NULL
+    `syntax_ok` is status ``error``.
     """
-    style = S.style_report(
-        F.col("rating").cast("double"), F.col("avg_complexity").cast("double")
-    )
+    absent = {"security_issues": "int", "rating": "double", "avg_complexity": "double"}
+    candidates = candidates.withColumns({
+        c: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) for c, t in absent.items()
+    })
+    style = S.style_report(F.col("rating"), F.col("avg_complexity"))
     report = F.col("bandit_output") if "bandit_output" in candidates.columns else F.lit(None)
     reason = F.col("error") if "error" in candidates.columns else F.lit(TIMED_OUT)
+    reason = F.when(F.col("syntax_ok").isNull(), F.lit(UNCHECKED)).otherwise(reason)
     lint = F.struct(
-        "syntax_ok", F.col("security_issues").cast("int").alias("security_issues"),
+        "syntax_ok", "security_issues",
         report.cast("string").alias("bandit_output"),
     )
     used = {"syntax_ok", "security_issues", "rating", "avg_complexity", "bandit_output",
@@ -42,8 +50,7 @@ def score_candidates(
     status = S.status(F.col("syntax_ok"), F.col("tests"))
     score = S.final_score(
         S.pass_rate(passed, failed), F.col("security_issues"),
-        S.style_score(F.col("rating").cast("double"), F.col("avg_complexity").cast("double")),
-        weights,
+        S.style_score(F.col("rating"), F.col("avg_complexity")), weights,
     )
     return candidates.select(
         *[c for c in candidates.columns if c not in used],

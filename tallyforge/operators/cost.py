@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge import schemas
 from tallyforge.functions.text import money
 from tallyforge.operators.dimension import left_join_dimension
+from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.running import running_sums
 from tallyforge.settings import PriceBook
 
@@ -38,15 +39,20 @@ def price_calls(
 ) -> DataFrame:
     """Add `cost` and `book`.
 
-    A model without a price pays the fallback price but keeps its own name.  A
-    `PriceBook` lives on the driver, so its size is known; a table of prices is
+    A model without a price pays the fallback price but keeps its own name.  A model
+    with several prices pays the highest (input, then output): each call is billed
+    once.  Tokens that were not recorded (NULL) cost nothing; the call still counts.
+    A `PriceBook` lives on the driver, so its size is known; a table of prices is
     counted before it is broadcast.
     """
     if isinstance(prices, PriceBook):
         fallback, rows = prices, prices.rows()
         table, row_count = calls.sparkSession.createDataFrame(rows, schemas.PRICES), len(rows)
     else:
-        table, row_count = prices.select("model", "input_per_1k", "output_per_1k"), None
+        one_each = last_per_key(
+            prices.filter("model IS NOT NULL"), ["model"], ["input_per_1k", "output_per_1k"]
+        )
+        table, row_count = one_each.select("model", "input_per_1k", "output_per_1k"), None
     priced = left_join_dimension(
         calls, table, "model", ["session_id", "call_seq"], row_count=row_count
     )
@@ -54,7 +60,7 @@ def price_calls(
         F.lit(p).cast("decimal(10,6)") for p in fallback.fallback
     )
     cost = call_cost(
-        F.col("input_tokens"), F.col("output_tokens"),
+        F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0)),
         F.coalesce("input_per_1k", in_fallback), F.coalesce("output_per_1k", out_fallback),
     )
     return priced.select(
@@ -83,11 +89,13 @@ def cost_total(priced: DataFrame, session: Sequence[str] = ("session_id",)) -> D
     )
 
 
-def running_cost(priced: DataFrame, session: Sequence[str] = ("session_id",)) -> DataFrame:
+def running_cost(
+    priced: DataFrame, session: Sequence[str] = ("session_id",), ranges: int | None = None
+) -> DataFrame:
     """Total of the session up to and including each call."""
     return running_sums(
         priced, session, "call_seq",
-        {"running_cost": (F.col("cost"), schemas.TOTAL_COST)},
+        {"running_cost": (F.col("cost"), schemas.TOTAL_COST)}, ranges,
     )
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scoring import EVALUATED, SYNTAX_ERROR
+from tallyforge.functions.verdict import FAILED_TEXT
 from tallyforge.operators.winners import best_model
 from tallyforge.settings import NO_WINNER
 
+NO_VERDICT = "no verdict recorded"
+
 
 def _model_map(value: Column) -> Column:
     """Aggregate: ``map<model, value>`` in model order."""
@@ -54,21 +57,23 @@ def response_maps(responses: DataFrame) -> DataFrame:
 def text_documents(
     prompts: DataFrame, responses: DataFrame, verdicts: DataFrame
 ) -> DataFrame:
-    """Text evaluations, or error and details where the verdict failed.
+    """Text evaluations, or error and details where the verdict failed or never came.
 
-    Further columns of `prompts` (a run's stamp, a batch) stay.
+    (prompt_id, model) is unique in `responses`, prompt_id in `verdicts`.  Further columns of `prompts` (a run's stamp, a batch) stay.
     """
     joined = prompts.join(response_maps(responses), "prompt_id", "left").join(
         verdicts.select("prompt_id", "status", "parsed", "winner", "error", "details"),
-        "prompt_id",
+        "prompt_id", "left",
     )
-    held = F.col("status") == EVALUATED
+    held, missing = F.col("status") == EVALUATED, F.col("status").isNull()
     return joined.select(
         *[c for c in prompts.columns if c != "prompt"],
         F.when(held, F.col("prompt")).alias("prompt"),
         F.when(held, F.col("responses")).alias("responses"),
         F.when(held, F.col("parsed")).alias("scores"),
-        "winner", "error", "details",
+        "winner",
+        F.when(missing, F.lit(FAILED_TEXT)).otherwise(F.col("error")).alias("error"),
+        F.when(missing, F.lit(NO_VERDICT)).otherwise(F.col("details")).alias("details"),
     )
 
 

@@ -25,7 +25,8 @@ def _lines_if(condition: Column, *lines: Column) -> Column:
 
 def _outcome(models: Column) -> Column:
     """Lines on the judge's winner and on the runner-up."""
-    winner, why, why_not = (F.col(n) for n in RESERVED_VERDICT_KEYS)
+    winner = F.col(RESERVED_VERDICT_KEYS[0])
+    why, why_not = (V.told(F.col("parsed"), n) for n in RESERVED_VERDICT_KEYS[1:])
     loser = runner_up_in_order(models, winner)
     return F.concat(
         _lines_if((winner != "") & (why != ""), _line("WINNER (", winner, "):"), _line("   ", why)),
@@ -55,7 +56,7 @@ def text_report(
                 _line("   Relevance: ", V.shown(entry, "relevance"), scale),
             ),
             let(
-                F.coalesce(V.field(entry, "reasoning"), F.lit("")),
+                V.told(entry, "reasoning"),
                 lambda told: _lines_if(told != "", _line("   Reasoning: ", told)),
             ),
         )
@@ -108,11 +109,13 @@ def code_report(verdicts: DataFrame) -> DataFrame:
 
         def lines(of: Column) -> Column:
             named = F.transform(known, lambda k: F.struct(
-                F.try_element_at(of, k).try_cast("string").alias("text"), k.alias("name")
+                F.try_element_at(of, k).alias("value"), k.alias("name")
             ))
-            told = F.filter(named, lambda l: l["text"] != "")
+            told = F.filter(named, lambda l: V.truthy(l["value"]))
             return F.transform(
-                told, lambda l: _line("   ", category_label(l["name"]), ": ", l["text"])
+                told, lambda l: _line(
+                    "   ", category_label(l["name"]), ": ", l["value"].try_cast("string")
+                )
             )
 
         return F.coalesce(let(texts, lines), F.array().cast("array<string>"))

@@ -1,26 +1,25 @@
 """Running sums that no single key can pile onto one task.
 
-A plain ``sum() over (partition by key order by seq)`` sorts all rows of a key in
-one task.  Here a key's rows are cut into buckets of ``2**bits`` consecutive
-sequence numbers.  `seq` is an integer and unique per key, so a bucket holds at
-most that many rows whatever the data.  Each bucket gets one extra row that carries
-the total of all buckets before it; the window then runs per bucket.  The big table
-is shuffled once; bucket totals are pre-aggregated before their own shuffle, and
-their running sums are built the same way one level up.
+A plain ``sum() over (partition by key order by seq)`` sorts all rows of a key in one
+task.  Here rows are cut into ranges of (keys, seq), as many as there are shuffle
+partitions: a key that holds a third of the log spreads over a third of them.  Sums run
+within each part of a key.  Only the last key of a range can go on in the next one, so
+what a part has to add is at most one number per range: its key's total in the ranges
+before.  Every row is summed once; the bounds of the ranges decide speed only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 20
-LEVELS = 2
+from tallyforge.sources.scratch import materialize
 
-_BUCKET = "__bucket_{level}"
-_IS_ROW = "__is_row"
+_RANGE = "__range"
+_ALL = "__all"
 
 
 def running_sums(
@@ -28,54 +27,61 @@ def running_sums(
     keys: Sequence[str],
     seq: str,
     sums: Mapping[str, tuple[Column, str]],
-    bits: int = BUCKET_BITS,
-    levels: int = LEVELS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add the running total, own row included, of each ``name: (column, type)``.
 
-    `keys` may be empty: then the whole table is one ordered log.  With the default
-    two levels of 20 bits no window holds more than 2**23 rows over the whole range
-    of BIGINT, and no more than 2**20 below 2**60.
+    `seq` is unique per key.  `keys` may be empty: then the whole table is one ordered
+    log.  `ranges` defaults to the session's number of shuffle partitions.  The rows are
+    written once to the scratch folder, in ranges.
     """
-    columns = rows.columns
-    valued = rows.select("*", *[v.cast(t).alias(n) for n, (v, t) in sums.items()])
-    if levels == 0:
-        window = _up_to_here(keys, [F.col(seq)])
-        return valued.select(
-            *columns, *[F.sum(n).over(window).cast(t).alias(n) for n, (_, t) in sums.items()]
-        )
-
-    bucket = _BUCKET.format(level=levels)
-    valued = valued.withColumn(bucket, F.shiftright(F.col(seq).cast("bigint"), bits))
-    totals = valued.groupBy(*keys, bucket).agg(
-        *[F.sum(n).cast(t).alias(n) for n, (_, t) in sums.items()]
+    spark = rows.sparkSession
+    columns, names = rows.columns, list(sums)
+    keys = list(keys) or [_ALL]
+    valued = rows.withColumn(_ALL, F.lit(0)).select(
+        *columns, *([_ALL] if keys == [_ALL] else []),
+        *[v.cast(t).alias(n) for n, (v, t) in sums.items()],
     )
-    through = {n: f"__through_{n}" for n in sums}
-    heads = running_sums(
-        totals, keys, bucket,
-        {through[n]: (F.col(n), t) for n, (_, t) in sums.items()}, bits, levels - 1,
-    ).select(
-        *keys, bucket, F.lit(False).alias(_IS_ROW),
-        *[(F.col(through[n]) - F.col(n)).cast(t).alias(n) for n, (_, t) in sums.items()],
+    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        valued.repartitionByRange(count, *keys, seq).withColumn(_RANGE, F.spark_partition_id()),
+        "running",
     )
-    window = _up_to_here([*keys, bucket], [F.col(_IS_ROW), F.col(seq)])
-    return (
-        valued.withColumn(_IS_ROW, F.lit(True))
-        .unionByName(heads, allowMissingColumns=True)
-        .select(
-            *columns, _IS_ROW,
-            *[F.sum(n).over(window).cast(t).alias(n) for n, (_, t) in sums.items()],
-        )
-        .filter(_IS_ROW)
-        .drop(_IS_ROW)
+    totals = ranged.groupBy(_RANGE, *keys).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).cast(t).alias(n) for n, (_, t) in sums.items()]
     )
-
-
-def _up_to_here(keys, order):
-    return (
-        Window.partitionBy(*keys).orderBy(*order)
+    # One row per range: its first and last key, and the last key's total there.
+    edges = totals.groupBy(_RANGE).agg(
+        F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys, *names)).alias("end")
+    )
+    so_far = Window.partitionBy(*[f"end.{k}" for k in keys]).orderBy(_RANGE)
+    through = [
+        F.sum(f"end.{n}").over(so_far).cast(t).alias(n) for n, (_, t) in sums.items()
+    ]
+    before = Window.orderBy(_RANGE)
+    ended = edges.select(_RANGE, "first", "end", F.struct(*through).alias("through"))
+    offsets = ended.select(
+        _RANGE, "first", F.lag(F.struct(*[f"end.{k}" for k in keys])).over(before).alias("previous"),
+        F.lag("through").over(before).alias("through"),
+    ).filter(F.col("first").eqNullSafe(F.col("previous"))).select(
+        F.col(_RANGE).alias("__of"), "first", "through"
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"first.{k}")) for k in keys], F.col(_RANGE) == F.col("__of"),
+    )
+    window = (
+        Window.partitionBy(_RANGE, *keys).orderBy(seq)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # At most one row per range, thus fewer than there are tasks.
+    carried = ranged.join(F.broadcast(offsets), same, "left")
+
+    def total(name: str, kind: str) -> Column:
+        carry = F.coalesce(F.col(f"through.{name}"), F.lit(0).cast(kind))
+        return (F.coalesce(F.sum(name).over(window), F.lit(0)) + carry).cast(kind).alias(name)
+
+    return carried.select(*columns, *[total(n, t) for n, (_, t) in sums.items()])
 
 
 def enumerate_rows(

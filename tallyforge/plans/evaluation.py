@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.candidates import score_candidates
 from tallyforge.operators.cost import cost_breakdown, cost_rollup, price_calls
 from tallyforge.operators.documents import code_documents, text_documents, with_cost
+from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.verdicts import parse_code_verdicts, parse_text_verdicts
 from tallyforge.settings import PriceBook, ScoreWeights
 
@@ -26,17 +28,21 @@ class CodeEvaluator:
     """Scores code answers; `responses` carry their tool reports and test counts.
 
     `verdicts` (prompt_id, judge_text) adds the judge's analysis.  It never changes
-    the winner, which the score alone decides.
+    the winner, which the score alone decides.  Of repeated answers of a model, and of
+    repeated verdicts, the last by the columns of `order` counts; equal ones are told
+    apart by their other columns.
     """
 
     weights: ScoreWeights = field(default_factory=ScoreWeights)
     verdicts: DataFrame | None = None
+    order: Sequence[str] = ()
 
     def evaluate(self, prompts: DataFrame, responses: DataFrame) -> DataFrame:
-        documents = code_documents(prompts, score_candidates(responses, self.weights))
+        last = _last(responses, ["prompt_id", "model"], self.order)
+        documents = code_documents(prompts, score_candidates(last, self.weights))
         if self.verdicts is None:
             return documents
-        analysis = parse_code_verdicts(self.verdicts).select(
+        analysis = parse_code_verdicts(_last(self.verdicts, ["prompt_id"], self.order)).select(
             "prompt_id", F.col("parsed").alias("judge_analysis")
         )
         return documents.join(analysis, "prompt_id", "left")
@@ -44,12 +50,24 @@ class CodeEvaluator:
 
 @dataclass(frozen=True)
 class TextEvaluator:
-    """Takes the judge's word: `verdicts` (prompt_id, judge_text) name the winners."""
+    """Takes the judge's word: `verdicts` (prompt_id, judge_text) name the winners.
+
+    Repeated answers and verdicts collapse to the last, as in `CodeEvaluator`.
+    """
 
     verdicts: DataFrame
+    order: Sequence[str] = ()
 
     def evaluate(self, prompts: DataFrame, responses: DataFrame) -> DataFrame:
-        return text_documents(prompts, responses, parse_text_verdicts(self.verdicts))
+        return text_documents(
+            prompts, _last(responses, ["prompt_id", "model"], self.order),
+            parse_text_verdicts(_last(self.verdicts, ["prompt_id"], self.order)),
+        )
+
+
+def _last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key; `order` may name columns that only one of the tables has."""
+    return last_per_key(rows, keys, [c for c in order if c in rows.columns])
 
 
 def priced_documents(

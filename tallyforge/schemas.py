@@ -18,7 +18,7 @@ COST_BREAKDOWN = (
 )
 LINT = "STRUCT<syntax_ok: BOOLEAN, security_issues: INT, bandit_output: STRING>"
 STYLE = "STRUCT<pylint_score: DOUBLE, average_complexity: DOUBLE, style_score: DOUBLE>"
-TESTS = "STRUCT<passed: INT, failed: INT>"
+TESTS = "STRUCT<passed: BIGINT, failed: BIGINT>"
 CODE_RESULT = (
     f"STRUCT<status: STRING, score: {SCORE}, tests: {TESTS}, lint: {LINT},"
     f" details: {LINT}, style: {STYLE}, error: STRING>"

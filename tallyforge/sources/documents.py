@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
 
+_BROKEN = "__broken"
+#: Fields that a text evaluation never has.
+_OTHER_KINDS = ("error", "details", "results", "judge_analysis")
+
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Saved documents of any generation, with `kind` and `file_name`.
 
     `multi_line` fits one indented document per file; files written by
-    `write_documents` hold one document per line and split across tasks.
+    `write_documents` hold one document per line and split across tasks.  What is no
+    JSON document keeps its row, with kind ``broken`` and its text as `details`.
     """
     docs = (
-        spark.read.schema(schemas.EVALUATION_DOC)
+        spark.read.schema(f"{schemas.EVALUATION_DOC}, {_BROKEN} STRING")
         .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", _BROKEN)
         .json(path)
     )
-    return docs.select(
-        "*", document_kind().alias("kind"), F.col("_metadata.file_name").alias("file_name")
+    broken = F.col(_BROKEN).isNotNull()
+    return docs.withColumn("details", F.coalesce(_BROKEN, "details")).select(
+        *[c for c in docs.columns if c != _BROKEN],
+        F.when(broken, F.lit("broken")).otherwise(document_kind()).alias("kind"),
+        F.col("_metadata.file_name").alias("file_name"),
     )
 
 
@@ -39,9 +50,32 @@ def write_documents(documents: DataFrame, path: str, partition: str = "run_ts")
     The rebalance keeps files of even size: small runs share tasks, a run that holds
     most documents is split over many.
     """
-    documents.hint("rebalance", partition).write.partitionBy(partition).json(path)
+    line = document_line([c for c in documents.columns if c != partition])
+    lines = documents.select(partition, line.alias("value"))
+    lines.hint("rebalance", partition).write.partitionBy(partition).text(path)
+
+
+def document_line(columns: Sequence[str]) -> Column:
+    """A document as one line of JSON.
+
+    Absent fields stay absent, except that a text evaluation always has its winner,
+    which a held verdict may leave null.
+    """
+    present = F.to_json(F.struct(*columns))
+    if not {"responses", "winner"} <= set(columns):
+        return present
+    fields = [c for c in columns if c not in _OTHER_KINDS and c != "cost_breakdown"]
+    nulls = {"ignoreNullFields": "false"}
+    whole = F.to_json(F.struct(*fields), nulls)
+    if "cost_breakdown" in columns:
+        priced = F.to_json(F.struct(*fields, "cost_breakdown"), nulls)
+        whole = F.when(F.col("cost_breakdown").isNotNull(), priced).otherwise(whole)
+    return F.when(F.col("responses").isNotNull(), whole).otherwise(present)
 
 
 def as_json(document: Column, pretty: bool = True) -> Column:
-    """A document as JSON text with two-space indent; absent fields stay absent."""
+    """A document as JSON text with two-space indent; absent fields stay absent.
+
+    Values held as VARIANT are written on one line with sorted keys.
+    """
     return F.to_json(document, {"pretty": "true"} if pretty else {})

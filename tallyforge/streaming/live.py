@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,9 @@ from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.winners import named_winner
 from tallyforge.settings import PriceBook
 
-_BATCH = "batch_id"
+COMPACT_EVERY = 16
+
+_BATCH, _UPTO = "batch_id", "upto"
 
 
 def live_cost_rollup(
@@ -22,21 +24,17 @@ def live_cost_rollup(
 ) -> DataFrame:
     """Calls and cost so far per (session, book, model).
 
-    State is one row per key for as long as the tracker lives; bound it with
-    `cost_per_window` where sessions never end.
+    State is one row per key for as long as the tracker lives; where sessions never
+    end, `run_window_costs` keeps none.
     """
     return cost_rollup(price_calls(calls, prices))
 
 
 def cost_per_window(
-    calls: DataFrame,
-    width: str,
-    delay: str,
-    prices: PriceBook | DataFrame = PriceBook(),
+    calls: DataFrame, width: str, prices: PriceBook | DataFrame = PriceBook()
 ) -> DataFrame:
-    """Calls and cost per time window and model; windows close at the watermark."""
-    priced = price_calls(calls, prices).withWatermark("ts", delay)
-    return priced.groupBy(F.window("ts", width), "book", "model").agg(
+    """Calls and cost per time window, book and model of a table of calls."""
+    return price_calls(calls, prices).groupBy(F.window("ts", width), "book", "model").agg(
         F.count("*").alias("calls"), F.sum("cost").cast(schemas.TOTAL_COST).alias("cost")
     ).select("window.start", "window.end", "book", "model", "calls", "cost")
 
@@ -47,41 +45,100 @@ def live_win_tally(winners: DataFrame, order: str = "prompt_id") -> DataFrame:
     )
 
 
-def run_updates(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Drain what has arrived; return the latest row per key.
+def run_updates(
+    stream: DataFrame, path: str, keys: Sequence[str], compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """Drain what has arrived; return the latest row per key."""
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return last_per_key(rows, keys, [_BATCH])
+
+    return _drain(stream, path, lambda batch: batch, latest, compact_every, "update")
+
 
-    Each micro-batch writes the rows that changed into its own folder, so one that is
-    repeated after a failure overwrites itself.  An empty batch before the first makes
-    the table readable where nothing has arrived yet.
+def run_window_costs(
+    calls: DataFrame, path: str, width: str, prices: PriceBook | DataFrame = PriceBook(),
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Drain what has arrived; return calls and cost of every window so far.
+
+    A micro-batch adds its own sums per window, so there is no state to bound by a
+    watermark: windows still open are there, and a call counts however late it comes.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/{_BATCH}={batch_id}")
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("start", "end", "book", "model").agg(
+            F.sum("calls").alias("calls"), F.sum("cost").cast(schemas.TOTAL_COST).alias("cost"),
+            F.max(_BATCH).alias(_BATCH),
+        )
+
+    return _drain(
+        calls, path, lambda batch: cost_per_window(batch, width, prices), sums, compact_every, "append"
+    )
+
 
+def _drain(
+    stream: DataFrame, path: str, rows_of: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame], compact_every: int, mode: str,
+) -> DataFrame:
+    """Write each micro-batch's rows, merged now and then; return all of them merged.
+
+    A batch has its own folder, so one that is repeated after a failure overwrites
+    itself.  Every `compact_every` batches the newest snapshot and the batches after it
+    are merged into a new snapshot, so what a read takes in follows the number of keys
+    and not the age of the stream.
+    """
     spark = stream.sparkSession
-    write(spark.createDataFrame([], stream.schema), -1)
+    empty = rows_of(spark.createDataFrame([], stream.schema))
+    nullable = [T.StructField(f.name, f.dataType) for f in empty.schema.fields]
+    kept = T.StructType([*nullable, T.StructField(_BATCH, T.LongType())])
+    updates, snapshots = f"{path}/updates", f"{path}/snapshots"
+
+    def so_far(last: int | None = None) -> DataFrame:
+        """Rows of all batches up to `last`: the newest snapshot and what came after."""
+        batches = [i for i in _written(spark, updates, _BATCH) if last is None or i <= last]
+        newest = max(
+            (i for i in _written(spark, snapshots, _UPTO) if last is None or i <= last), default=None
+        )
+        rows = spark.createDataFrame([], kept)
+        if newest is not None:
+            batches = [i for i in batches if i > newest]
+            rows = spark.read.schema(kept).parquet(f"{snapshots}/{_UPTO}={newest}")
+        if batches:
+            newer = [f"{updates}/{_BATCH}={i}" for i in batches]
+            rows = rows.unionByName(
+                spark.read.schema(kept).option("basePath", updates).parquet(*newer)
+            )
+        return merge(rows)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows_of(batch).write.mode("overwrite").parquet(f"{updates}/{_BATCH}={batch_id}")
+        due = batch_id % compact_every == compact_every - 1
+        if due and batch_id not in _written(spark, snapshots, _UPTO):
+            so_far(batch_id).select(kept.names).write.mode("overwrite").parquet(
+                f"{snapshots}/{_UPTO}={batch_id}"
+            )
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/state")
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
     query.awaitTermination()
-    with_batch = T.StructType([*stream.schema.fields, T.StructField(_BATCH, T.LongType())])
-    updates = spark.read.schema(with_batch).parquet(f"{path}/updates")
-    return last_per_key(updates, keys, [_BATCH]).drop(_BATCH)
-
-
-def run_appends(stream: DataFrame, path: str) -> DataFrame:
-    """Drain what has arrived into a file sink; return the table it wrote."""
-    query = (
-        stream.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(f"{path}/rows")
+    return so_far().drop(_BATCH)
+
+
+def _written(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the complete folders ``name=number`` under `path`."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [s.getPath() for s in files.listStatus(root)]
+    return sorted(
+        int(p.getName().split("=")[1]) for p in found
+        if p.getName().startswith(f"{name}=") and files.exists(hadoop.Path(p, "_SUCCESS"))
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

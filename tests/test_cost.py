@@ -62,14 +62,13 @@ def test_rollup_totals_and_breakdown(spark):
         assert doc.cost_breakdown.total == totals[doc.session_id]
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2])
-@pytest.mark.parametrize("bits", [1, 6])
-def test_running_sums_of_a_hot_session(spark, levels, bits):
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_running_sums_of_a_hot_session(spark, ranges):
     rows, calls = log(spark)
     priced = C.price_calls(calls)
     got = running_sums(priced, ["session_id"], "call_seq", {
         "running": (F.col("cost"), schemas.TOTAL_COST), "n": (F.lit(1), "BIGINT"),
-    }, bits=bits, levels=levels).collect()
+    }, ranges).collect()
     assert len(got) == len(rows)
     total, count, expected = defaultdict(Decimal), defaultdict(int), {}
     for s, seq, _, model, _, i, o in rows:
@@ -82,12 +81,28 @@ def test_running_sums_of_a_hot_session(spark, levels, bits):
 def test_running_sums_keep_null_keys(spark):
     rows, calls = log(spark)
     got = running_sums(
-        calls, ["session_id", "call_type"], "call_seq", {"n": (F.lit(1), "BIGINT")}, bits=4
+        calls, ["session_id", "call_type"], "call_seq", {"n": (F.lit(1), "BIGINT")}, 9
     )
     assert got.count() == len(rows)
     assert got.filter("call_type IS NULL").count() == sum(r[4] is None for r in rows)
 
 
+def test_running_sums_of_one_ordered_log_and_of_nothing(spark):
+    _, calls = log(spark)
+    got = running_sums(calls, [], "call_seq", {"n": (F.lit(1), "BIGINT")}, 11).orderBy("call_seq").collect()
+    assert [r.n for r in got] == list(range(1, len(got) + 1))
+    assert running_sums(calls.limit(0), ["session_id"], "call_seq", {"n": (F.lit(1), "BIGINT")}).count() == 0
+
+
+def test_each_call_is_billed_once(spark):
+    rows = [(1, 1, None, "a", "model", 1000, 0), (1, 2, None, "a", "model", None, 1000), (1, 3, None, None, "model", 1000, 0)]
+    prices = spark.createDataFrame(
+        [("a", Decimal("0.01"), Decimal("0.02")), ("a", Decimal("0.03"), Decimal("0.01")), (None, Decimal(9), Decimal(9))],
+        schemas.PRICES)
+    got = C.price_calls(spark.createDataFrame(rows, schemas.CALL_LOG), prices).orderBy("call_seq").collect()
+    assert [r.cost for r in got] == [Decimal("0.03"), Decimal("0.01"), Decimal("0.0015")]
+
+
 def test_sessions_between_resets(spark):
     rows, calls = log(spark)
     calls = calls.withColumn("is_reset", F.col("input_tokens") % 5 == 0)

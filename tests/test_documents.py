@@ -120,6 +120,54 @@ def test_pretty_json_is_indented_by_two(spark):
     assert '\n  "prompt"' in row.doc
 
 
+def test_held_text_verdict_keeps_its_null_winner(spark):
+    answers = spark.sql("SELECT 1L prompt_id, 'p1' prompt, map('a', 'ra') responses, 'r1' run_ts")
+    verdicts = spark.createDataFrame([(1, '{"a": {"correctness": 4}, "winner": null}')],
+                                     "prompt_id BIGINT, judge_text STRING")
+    docs = TextEvaluator(verdicts).evaluate(answers.select("prompt_id", "prompt", "run_ts"), responses_from_map(answers))
+    path = scratch_path(spark, "docs")
+    SD.write_documents(docs, path)
+    (line,) = [r.value for r in spark.read.text(path).collect()]
+    assert json.loads(line) == {"prompt_id": 1, "prompt": "p1", "responses": {"a": "ra"},
+                                "scores": {"a": {"correctness": 4}, "winner": None}, "winner": None}
+
+
+def test_broken_files_keep_their_row(spark):
+    path = scratch_path(spark, "broken")
+    spark.createDataFrame([('{"prompt": "p", "error": "e"}',), ("not json {",)], "value STRING").write.text(path)
+    got = SD.read_documents(spark, path, multi_line=False).select("kind", "details", "prompt").collect()
+    assert sorted(map(tuple, got), key=str) == [("broken", "not json {", None), ("failed", None, "p")]
+
+
+def test_prompts_without_a_verdict_and_repeated_answers(spark):
+    prompts = spark.createDataFrame([(1, "p1"), (2, "p2")], "prompt_id BIGINT, prompt STRING")
+    responses = spark.createDataFrame(
+        [(1, "a", 0, "old", 1), (1, "a", 0, "new", 2), (1, "b", 1, "x", 1), (2, "a", 0, "y", 1)],
+        "prompt_id BIGINT, model STRING, model_pos INT, response STRING, seq INT")
+    verdicts = spark.createDataFrame([(1, '{"winner": "a"}', 1), (1, '{"winner": "b"}', 2)],
+                                     "prompt_id BIGINT, judge_text STRING, seq INT")
+    docs = TextEvaluator(verdicts, order=["seq"]).evaluate(prompts, responses)
+    got = {r.prompt_id: r for r in docs.collect()}
+    assert (got[1].responses, got[1].winner) == ({"a": "new", "b": "x"}, "b")
+    assert (got[2].prompt, got[2].error, got[2].details) == (None, "Failed to evaluate text", "no verdict recorded")
+    runs = spark.createDataFrame([
+        (1, "z", 0, False, 0, "{}", 1.0, 0.0, (1, 1), 1), (1, "z", 0, True, 0, "{}", 8.5, 2.0, (8, 2), 2),
+    ], CANDIDATE + ", seq INT")
+    (doc,) = CodeEvaluator(order=["seq"]).evaluate(prompts.limit(1), runs).collect()
+    assert list(doc.results) == ["z"] and doc.results["z"].status == "evaluated"
+
+
+def test_only_truthy_categories_and_reasonings_are_printed(spark):
+    verdict = {"z": {"strengths": ["a", "b"], "weaknesses": [], "code_quality": 0, "test_performance": False,
+                     "security_analysis": {}, "style_assessment": 4.5},
+               "winner": "z", "winner_reasoning": [], "loser_reasoning": 7}
+    verdicts = spark.createDataFrame([(1, json.dumps(verdict))], "prompt_id BIGINT, judge_text STRING")
+    results = CodeEvaluator().evaluate(prompts(spark), candidates(spark)).select("prompt_id", "results")
+    lines = [r.line for r in R.code_report(VD.parse_code_verdicts(verdicts).join(results, "prompt_id"))
+             .orderBy("line_no").collect()]
+    assert lines[8:] == ['   Strengths: ["a","b"]', "   Style Assessment: 4.5", "RUNNER-UP (a):", "   7"]
+
+
 def test_scratch_follows_the_session_setting(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     path = scratch_path(spark, "t")

@@ -66,6 +66,17 @@ def test_scores_match_the_formula(spark):
         assert (got.error is not None) == (got.status == "error")
 
 
+def test_absent_reports_found_nothing(spark):
+    rows = [(1, "m", 0, True, None, 8.5, 2.0, (8, 2)), (2, "m", 0, True, 1, None, None, (8, 2)),
+            (3, "m", 0, None, 0, 8.5, 2.0, (8, 2)), (4, "m", 0, True, 0, 0.0, 0.0, (2**33, 0))]
+    got = {r.prompt_id: r for r in score_candidates(spark.createDataFrame(rows, CANDIDATE.replace("INT>", "BIGINT>")
+                                                    .replace("passed: INT", "passed: BIGINT"))).collect()}
+    assert float(got[1].score) == round(0.7 * 0.8 + 0.3 * 0.708, 3) and got[1].lint.security_issues == 0
+    assert float(got[2].score) == round(0.7 * 0.7, 3)
+    assert (got[3].status, float(got[3].score), got[3].error) == ("error", 0.0, "syntax was not checked")
+    assert float(got[4].score) == 0.7 and got[4].tests.passed == 2**33
+
+
 def test_penalty_hits_only_the_functional_part(spark):
     weights = ScoreWeights(functionality=0.5, style=0.5, penalty_per_issue=1.0)
     row = spark.range(1).select(

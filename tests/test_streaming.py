@@ -33,13 +33,31 @@ def test_live_rollup_equals_the_batch_rollup_after_each_drain(spark):
         assert sorted(live_rows.select(columns).collect()) == sorted(batch.select(columns).collect())
 
 
-def test_windows_close_at_the_watermark(spark):
+def test_windows_count_open_hours_and_late_calls(spark):
     log, out = scratch_path(spark, "log"), scratch_path(spark, "windows")
-    calls(spark, 0, 200).coalesce(1).write.parquet(log)
-    closed = live.run_appends(live.cost_per_window(stream(spark, log), "1 hour", "10 minutes"), out).collect()
-    # The last call is at 3:19, so the watermark at 3:09 has closed three hours.
-    assert {r.start for r in closed} == {START + timedelta(hours=h) for h in range(3)}
-    assert sum(r.calls for r in closed) == 180
+    # Files arrive in the wrong order, hours late.
+    for first, last in ((120, 200), (0, 60), (60, 120)):
+        calls(spark, first, last).coalesce(1).write.mode("append").parquet(log)
+        rows = live.run_window_costs(stream(spark, log), out, "1 hour", compact_every=2)
+        batch = live.cost_per_window(read_call_log(spark, log), "1 hour")
+        assert sorted(rows.select(batch.columns).collect()) == sorted(batch.collect())
+    assert {r.start for r in rows.collect()} == {START + timedelta(hours=h) for h in range(4)}
+    assert sum(r.calls for r in rows.collect()) == 200
+
+
+def test_reads_follow_the_keys_and_not_the_batches(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "rollup")
+    keys = ["session_id", "book", "model"]
+    files = []
+    for n in range(12):
+        calls(spark, 30 * n, 30 * n + 30).coalesce(1).write.mode("append").parquet(log)
+        rows = live.run_updates(live.live_cost_rollup(stream(spark, log)), out, keys, compact_every=3)
+        files.append(len(rows.inputFiles()))
+    batch = C.cost_rollup(C.price_calls(read_call_log(spark, log)))
+    columns = sorted(batch.columns)
+    assert sorted(rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+    # After a snapshot nothing older is read.
+    assert files[11] <= files[2] and files[8] <= files[2]
 
 
 def test_live_tally_equals_the_batch_tally(spark):
@@ -59,5 +77,5 @@ def test_an_idle_stream_gives_empty_tables(spark):
     rollup = live.run_updates(
         live.live_cost_rollup(stream(spark, log)), scratch_path(spark, "rollup"), ["session_id", "book", "model"])
     assert rollup.count() == 0
-    windows = live.cost_per_window(stream(spark, log), "1 hour", "10 minutes")
-    assert live.run_appends(windows, scratch_path(spark, "windows")).count() == 0
+    windows = live.run_window_costs(stream(spark, log), scratch_path(spark, "windows"), "1 hour")
+    assert windows.count() == 0

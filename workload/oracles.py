@@ -80,6 +80,13 @@ select t.snippet_id as prompt_id, 'model-0' as model, 0 as model_pos,
   case t.snippet_id % 5 when 0 then 0 when 1 then 1 when 3 then 2 else 0 end as failed_n
 from tool_outputs t join ratings r on t.snippet_id = r.snippet_id
 join complexities c on t.snippet_id = c.snippet_id""",
+    "sparse_reported": """
+select t.snippet_id as prompt_id, 'model-0' as model, 0 as model_pos, true as syntax_ok,
+  case when lint_stdout <> '' and t.snippet_id % 4 = 1 then 2 else 0 end as issues,
+  rating, 0 as cc, rating / 10 as raw_style,
+  case t.snippet_id % 5 when 0 then null when 1 then 9 when 3 then p_size else 0 end as passed_n,
+  case t.snippet_id % 5 when 0 then null when 1 then 1 when 3 then 2 else 0 end as failed_n
+from tool_outputs t join ratings r on t.snippet_id = r.snippet_id""",
     "mixed": """
 select *, {weight_f}::double * greatest(
     (case when passed_n + failed_n > 0 then passed_n::double / (passed_n + failed_n) else 0 end)
@@ -220,6 +227,7 @@ DEPENDS = {
     "test_code": ["tool_outputs"], "ratings": ["tool_outputs"],
     "complexities": ["tool_outputs", "blocks"],
     "reported": ["tool_outputs", "ratings", "complexities"],
+    "sparse_reported": ["tool_outputs", "ratings"],
 }
 
 DEFAULTS = {"weight_f": "0.7", "weight_s": "0.3", "penalty": "0.1", "styled": "styled"}
@@ -272,6 +280,10 @@ ORACLES = {
     "code_scores": sql(SCORE_COLUMNS, "scored"),
     "code_scores_custom_weights": sql(
         SCORE_COLUMNS, "scored", weight_f="0.5", weight_s="0.5", penalty="0.05"),
+    "scores_from_sparse_reports": sql(
+        "select prompt_id, status, score,"
+        " case when status = 'error' then 'syntax was not checked' end as error from scored",
+        "sparse_reported", "scored", styled="sparse_reported"),
     "scores_from_reports": sql(SCORE_COLUMNS, "reported", "scored", styled="reported"),
     "code_winner": sql("select * from code_won", "code_won"),
     "code_winner_of_prompts": sql("""
@@ -325,6 +337,7 @@ from call_log left join nation on session_id % 30 = n_nationkey""", "call_log"),
 select session_id, count(*) as calls, cast(sum(cost) as decimal(28,9)) as total
 from priced group by session_id""", "priced"),
     "cost_running": sql("select session_id, call_seq, running_cost from running", "running"),
+    "cost_running_many_buckets": sql("select session_id, call_seq, running_cost from running", "running"),
     "cost_running_by_model": sql("""
 select session_id, book, model, call_seq, row_number() over w as running_calls,
   cast(sum(cost) over w as decimal(28,9)) as running_cost
@@ -445,7 +458,7 @@ select snippet_id, cast(case when json_valid(report_json)
   as security_issues from tool_outputs""", "tool_outputs"),
     "finding_counts": sql("""
 select t.snippet_id, cast(count(b.block) as integer) as security_issues from tool_outputs t
-left join blocks b on t.snippet_id = b.snippet_id and complexity > 9 group by t.snippet_id""",
+left join blocks b on t.snippet_id = b.snippet_id group by t.snippet_id""",
         "tool_outputs", "blocks"),
     "avg_complexity": sql("select * from complexities", "complexities"),
     "style_reports": sql(
@@ -529,6 +542,21 @@ left join code_verdicts v on o_orderkey = v.prompt_id""", "code_won", "scored",
 select a.prompt_id, case when ok then prompt end as prompt, winner, error,
   case when ok then 'model-a,model-b' end as models, case when ok then response_b end as second_response
 from text_answers a join judged j on a.prompt_id = j.prompt_id""", "text_answers", "judged"),
+    "text_evaluation_docs_sparse": sql("""
+select a.prompt_id, case when ok and o_orderstatus = 'F' then prompt end as prompt,
+  case when o_orderstatus = 'F' then winner end as winner,
+  case when not ok or o_orderstatus <> 'F' then 'Failed to evaluate text' end as error,
+  case when o_orderstatus <> 'F' then 'no verdict recorded'
+    when js = '' then 'No valid JSON in judge output'
+    when not json_valid(js) then 'Invalid JSON in judge output'
+    when not ok then 'A model entry is not an object' end as details
+from text_answers a join judged j on a.prompt_id = j.prompt_id
+join orders on o_orderkey = a.prompt_id""", "text_answers", "judged"),
+    "evaluation_docs_repeated": sql("""
+select o_orderkey as prompt_id, coalesce(w.winner, 'No valid code found') as winner,
+  s.model, s.status, s.score
+from orders left join code_won w on o_orderkey = w.prompt_id
+left join scored s on o_orderkey = s.prompt_id""", "code_won", "scored"),
     "document_json": sql("""
 select prompt_id, prompt, response_a as first_response, 7 as lines from text_answers""",
         "text_answers"),
@@ -545,8 +573,7 @@ from judged""", "judged"),
     "stream_cost_windows": sql("""
 select strftime(h, '%Y-%m-%d %H:%M:%S') as hour, book, model, calls, cost from (
   select date_trunc('hour', ts) as h, book, model, count(*) as calls,
-    cast(sum(cost) as decimal(28,9)) as cost from priced group by 1, 2, 3) t
-where h + interval 1 hour <= (select max(ts) from priced) - interval 10 minutes""", "priced"),
+    cast(sum(cost) as decimal(28,9)) as cost from priced group by 1, 2, 3) t""", "priced"),
     "stream_win_tally": sql("""
 select winner, count(*) as wins, min(prompt_id) as first_win from judged
 where winner is not null and winner <> '' group by winner""", "judged"),

@@ -65,6 +65,23 @@ def code_scores_custom_weights(spark, sf):
     return _score_columns(V.scored_runs(spark, sf, weights))
 
 
+@query
+def scores_from_sparse_reports(spark, sf):
+    """Linter and scanner reports for some snippets only; absent ones found nothing."""
+    parts = V.tool_outputs(spark, sf)
+    reports = parts.filter("lint_stdout <> ''").select(
+        "snippet_id", X.lint_rating(F.col("lint_stdout")).alias("rating"),
+        security_issue_count(F.col("report_json")).alias("security_issues"),
+    )
+    candidates = parts.select("snippet_id", "stdout").join(reports, "snippet_id", "left").select(
+        F.col("snippet_id").alias("prompt_id"), F.lit("model-0").alias("model"),
+        F.lit(0).alias("model_pos"), F.when(F.col("snippet_id") % 5 > 0, True).alias("syntax_ok"),
+        "security_issues", "rating", F.lit(None).cast("double").alias("avg_complexity"),
+        X.run_output_counts(F.col("stdout")).alias("tests"),
+    )
+    return score_candidates(candidates).select("prompt_id", "status", "score", "error")
+
+
 @query
 def scores_from_reports(spark, sf):
     """From answers, linter and scanner output, block table and run output to scores."""
@@ -207,6 +224,14 @@ def cost_running(spark, sf):
     return C.running_cost(_priced(spark, sf)).select("session_id", "call_seq", "running_cost")
 
 
+@query
+def cost_running_many_buckets(spark, sf):
+    """The same over far more ranges than a session would need."""
+    return C.running_cost(_priced(spark, sf), ranges=64).select(
+        "session_id", "call_seq", "running_cost"
+    )
+
+
 @query
 def cost_running_by_model(spark, sf):
     return C.running_cost_by_model(_priced(spark, sf)).select(
@@ -378,8 +403,7 @@ def security_count(spark, sf):
 @query
 def finding_counts(spark, sf):
     snippets = V.tool_outputs(spark, sf).select("snippet_id")
-    findings = V.blocks(spark, sf).filter("complexity > 9")
-    return finding_count(snippets, findings)
+    return finding_count(snippets, V.blocks(spark, sf))
 
 
 @query
@@ -551,6 +575,28 @@ def text_evaluation_docs(spark, sf):
     )
 
 
+@query
+def text_evaluation_docs_sparse(spark, sf):
+    """Verdicts for finished orders only; every prompt still gets a document."""
+    answers = V.text_answers(spark, sf)
+    finished = V.as_verdicts(V.table(spark, sf, "orders").filter("o_orderstatus = 'F'"))
+    documents = TextEvaluator(finished).evaluate(
+        answers.select("prompt_id", "prompt"), responses_from_map(answers)
+    )
+    return documents.select("prompt_id", "prompt", "winner", "error", "details")
+
+
+@query
+def evaluation_docs_repeated(spark, sf):
+    """Every logged answer goes in; the last of each model counts."""
+    documents = CodeEvaluator(order=V.ANSWER_ORDER).evaluate(
+        _code_prompts(spark, sf), V.logged_runs(spark, sf)
+    )
+    return documents.select(
+        "prompt_id", "winner", F.explode_outer("results").alias("model", "result")
+    ).select("prompt_id", "winner", "model", "result.status", "result.score")
+
+
 @query
 def document_json(spark, sf):
     """Pretty JSON text of each text document, read back field by field."""
@@ -616,12 +662,10 @@ def stream_cost_rollup(spark, sf):
 
 @query
 def stream_cost_windows(spark, sf):
-    """Hourly costs of the hours the watermark has closed."""
+    """Hourly costs of every hour, open ones and late calls included."""
     calls = V.as_call_log(_event_stream(spark, sf))
-    closed = live.run_appends(
-        live.cost_per_window(calls, "1 hour", "10 minutes"), scratch_path(spark, "cost_windows")
-    )
-    return closed.select(
+    hours = live.run_window_costs(calls, scratch_path(spark, "cost_windows"), "1 hour")
+    return hours.select(
         F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "book", "model", "calls", "cost"
     )
 

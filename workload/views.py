@@ -68,7 +68,17 @@ ANSWER_ORDER = (
 
 def code_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per prompt and model; the last logged answer holds."""
-    last = last_per_key(logged_answers(spark, sf_dir), ["prompt_id", "model_pos"], ANSWER_ORDER)
+    return _as_runs(
+        last_per_key(logged_answers(spark, sf_dir), ["prompt_id", "model_pos"], ANSWER_ORDER)
+    )
+
+
+def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every logged answer as a candidate, with the columns that order them."""
+    return _as_runs(logged_answers(spark, sf_dir), ANSWER_ORDER)
+
+
+def _as_runs(answers: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     part = F.col("l_partkey") % 8
     outcome = (
         F.when(part == 0, S.NO_OUTPUT)
@@ -80,8 +90,8 @@ def code_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(S.PASS)
     )
     asserts = F.col("l_quantity").cast("int") % 12
-    return last.select(
-        "prompt_id",
+    return answers.select(
+        *kept, "prompt_id",
         _text("model-", F.col("model_pos")).alias("model"),
         "model_pos",
         (F.col("l_returnflag") != "A").alias("syntax_ok"),
