@@ -129,6 +129,35 @@ def cost_snapshots(running: DataFrame, prompt: Sequence[str]) -> DataFrame:
     )
 
 
+def running_rollup(
+    priced: DataFrame, prompt: str, session: Sequence[str] = ("session_id",)
+) -> DataFrame:
+    """Calls and cost so far per (book, model), for every prompt of a session.
+
+    Like `cost_rollup`, with one row per prompt, book and model seen up to that prompt;
+    `prompt` is an integer column in the order of the session.  A prompt without a call
+    to a model repeats what the model had before, so the result is as long as the
+    documents that show it.
+    """
+    kinds = [*session, "book", "model"]
+    own = priced.groupBy(*session, prompt, "book", "model").agg(
+        F.count("*").alias("own_calls"), _cost_sum().alias("own_cost"),
+        F.min("call_seq").alias("own_seq"),
+    )
+    first = own.groupBy(*kinds).agg(
+        F.min(prompt).alias("first_prompt"), F.min("own_seq").alias("first_seq")
+    )
+    shown = own.select(*session, prompt).distinct().join(first, list(session)).filter(
+        F.col(prompt) >= F.col("first_prompt")
+    )
+    dense = shown.join(own.drop("own_seq"), [*session, prompt, "book", "model"], "left")
+    summed = running_sums(dense, kinds, prompt, {
+        "calls": (F.coalesce("own_calls", F.lit(0)), "BIGINT"),
+        "cost": (F.coalesce("own_cost", F.lit(0)), schemas.TOTAL_COST),
+    })
+    return summed.select(*session, prompt, "book", "model", "calls", "cost", "first_seq")
+
+
 def cost_over_documents(snapshots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Correct sum of own costs, and the sum of running totals (counts twice)."""
     return snapshots.groupBy(*by).agg(

@@ -7,14 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.settings import BROADCAST_ROW_LIMIT
+from tallyforge.settings import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT
 
 _SALT = "__salt"
 
 
-def is_small(table: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when `table` holds at most `row_limit` rows; reads no more than that."""
-    return len(table.select(F.lit(1)).take(row_limit + 1)) <= row_limit
+def is_small(
+    table: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, byte_limit: int = BROADCAST_BYTE_LIMIT
+) -> bool:
+    """True when `table` holds at most `row_limit` rows and about `byte_limit` bytes.
+
+    One job, which reads no more rows than that; values count by their length as text.
+    """
+    size = sum(
+        (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0)
+    )
+    seen = table.select(size.cast("bigint").alias("size")).limit(row_limit + 1).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
+    ).first()
+    return seen["rows"] <= row_limit and seen["bytes"] <= byte_limit
 
 
 def left_join_dimension(

@@ -77,6 +77,8 @@ def text_documents(
     )
 
 
-def with_cost(documents: DataFrame, breakdown: DataFrame, on: str = "prompt_id") -> DataFrame:
+def with_cost(
+    documents: DataFrame, breakdown: DataFrame, on: str | list[str] = "prompt_id"
+) -> DataFrame:
     """Attach a `cost_breakdown` per document."""
     return documents.join(breakdown, on, "left")

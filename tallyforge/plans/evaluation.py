@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.candidates import score_candidates
-from tallyforge.operators.cost import cost_breakdown, cost_rollup, price_calls
+from tallyforge.operators.cost import cost_breakdown, cost_rollup, price_calls, running_rollup
 from tallyforge.operators.documents import code_documents, text_documents, with_cost
 from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.verdicts import parse_code_verdicts, parse_text_verdicts
@@ -71,8 +71,18 @@ def _last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def priced_documents(
-    documents: DataFrame, calls: DataFrame, prices: PriceBook | DataFrame = PriceBook()
+    documents: DataFrame, calls: DataFrame, prices: PriceBook | DataFrame = PriceBook(),
+    session: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Attach each prompt's own cost breakdown; `calls` carry the prompt_id."""
-    rollup = cost_rollup(price_calls(calls, prices), ["prompt_id"])
-    return with_cost(documents, cost_breakdown(rollup, ["prompt_id"]))
+    """Attach a cost breakdown per prompt; `calls` carry the prompt_id.
+
+    Without `session` it is the prompt's own.  With the columns of a session, which
+    `documents` have too, it is what the session's tracker shows at that prompt: all
+    calls so far, in the order of the prompt ids.
+    """
+    priced = price_calls(calls, prices)
+    if session is None:
+        return with_cost(documents, cost_breakdown(cost_rollup(priced, ["prompt_id"]), ["prompt_id"]))
+    keys = [*session, "prompt_id"]
+    rollup = running_rollup(priced, "prompt_id", session)
+    return with_cost(documents, cost_breakdown(rollup, keys), keys)

@@ -1,6 +1,6 @@
 """Texts sent to models and judges.
 
-Fixed values: wording and layout must stay as they are, judges were tuned on them.
+Fixed values: wording and layout are part of the contract and must stay as they are.
 ``<<name>>`` marks a place that a column fills.
 """
 

@@ -14,7 +14,6 @@ TOKEN_PRICES = {
 }
 FALLBACK_PRICE_MODEL = "gpt-3.5-turbo"
 DEFAULT_MODELS = ("gpt-4", "gpt-3.5-turbo")
-DEFAULT_JUDGE = "gpt-4"
 NO_WINNER = "No valid code found"
 
 # Keys of a verdict that name no model.
@@ -30,8 +29,10 @@ CODE_CATEGORIES = (
     "weaknesses",
 )
 
-# A dimension table is broadcast only when it is counted to be at most this long.
+# A dimension table is broadcast only when it is counted to be at most this long and
+# this large as text.
 BROADCAST_ROW_LIMIT = 100_000
+BROADCAST_BYTE_LIMIT = 16 << 20
 
 
 @dataclass(frozen=True)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import cost as C
-from tallyforge.operators.dimension import left_join_dimension
+from tallyforge.operators.dimension import is_small, left_join_dimension
 from tallyforge.operators.running import enumerate_rows, running_sums
+from tallyforge.plans.evaluation import priced_documents
 from tallyforge.settings import PriceBook
 
 MODELS = ["gpt-4", "gpt-4-turbo", "gpt-3.5-turbo", "gpt-3.5-turbo-16k", "strange"]
@@ -103,6 +104,25 @@ def test_each_call_is_billed_once(spark):
     assert [r.cost for r in got] == [Decimal("0.03"), Decimal("0.01"), Decimal("0.0015")]
 
 
+def test_a_wide_dimension_is_not_small(spark):
+    wide = spark.range(50).select(F.col("id").cast("string").alias("model"), F.repeat(F.lit("x"), F.lit(1000)).alias("t"))
+    assert is_small(wide) and not is_small(wide, byte_limit=10_000) and not is_small(wide, row_limit=49)
+    assert is_small(wide.limit(0))
+
+
+def test_breakdown_so_far_repeats_models_of_earlier_prompts(spark):
+    rows = [(1, 1, None, "a", "model", 1000, 0), (1, 2, None, "b", "judge", 1000, 0), (1, 101, None, "a", "model", 1000, 0),
+            (1, 201, None, "c", "model", 1000, 0), (2, 3, None, "a", "model", 1000, 0)]
+    calls = spark.createDataFrame(rows, schemas.CALL_LOG).withColumn("prompt_id", F.floor(F.col("call_seq") / 100))
+    docs = calls.select("session_id", "prompt_id").distinct()
+    got = {(r.session_id, r.prompt_id): r.cost_breakdown for r in priced_documents(docs, calls, session=["session_id"]).collect()}
+    shown = {k: ({m: v.calls for m, v in d.model_calls.items()}, {m: v.calls for m, v in d.judge_calls.items()}, d.total)
+             for k, d in got.items()}
+    each = Decimal("0.0015")
+    assert shown == {(1, 0): ({"a": 1}, {"b": 1}, 2 * each), (1, 1): ({"a": 2}, {"b": 1}, 3 * each),
+                     (1, 2): ({"a": 2, "c": 1}, {"b": 1}, 4 * each), (2, 0): ({"a": 1}, {}, each)}
+
+
 def test_sessions_between_resets(spark):
     rows, calls = log(spark)
     calls = calls.withColumn("is_reset", F.col("input_tokens") % 5 == 0)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pandas as pd
@@ -15,6 +16,29 @@ from tallyforge.sources.scratch import scratch_path
 PAIRS = [(1, "Why <<prompt>>?", "b", 1, "{x}"), (1, "Why <<prompt>>?", "a", 0, "because")]
 PAIR_SCHEMA = "prompt_id INT, prompt STRING, model STRING, model_pos INT, response STRING"
 
+#: First digits of the SHA-256 of each text that must not change.
+PINNED = {
+    "CODE_JUDGE_ENTRY": "39202f78509cc96f",
+    "CODE_JUDGE_HEAD": "fd75db592b17eeae",
+    "CODE_JUDGE_SECTION": "5ae59163674f1a6d",
+    "CODE_JUDGE_TAIL": "aed9294cd6a713ad",
+    "CODE_JUDGE_TASK": "3f63ac616e8b8b24",
+    "SYSTEM_TEXT": "f802fbceee7aca2f",
+    "TEST_WRITER": "0e2e87bcd4134f20",
+    "TEXT_JUDGE_ENTRY": "3f2ef97f2e8f8273",
+    "TEXT_JUDGE_HEAD": "ecece53ea8a76cd3",
+    "TEXT_JUDGE_SECTION": "fd9cebcafed3441d",
+    "TEXT_JUDGE_TAIL": "be67d460d76d2ea5",
+    "TEXT_JUDGE_TASK": "e4ec491d29143014",
+}
+
+
+def test_texts_are_the_pinned_ones():
+    for name, digest in PINNED.items():
+        text = getattr(T, name)
+        text = text if isinstance(text, str) else repr(sorted(text.items()))
+        assert hashlib.sha256(text.encode()).hexdigest().startswith(digest), name
+
 
 def test_batch_file_positions(spark, tmp_path):
     texts = ["first", "second \"quoted\"", "", "línea\ntwo"]

@@ -326,6 +326,15 @@ select o_orderkey as prompt_id, m.model, coalesce(s.status, 'unknown') as status
   coalesce(s.score, 0)::decimal(6,3) as score
 from orders cross join (values ('model-1'), ('model-3'), ('gpt-4')) m(model)
 left join scored s on o_orderkey = s.prompt_id and m.model = s.model""", "scored"),
+    "recorded_calls": sql("select call_seq, session_id, model, book, cost from priced", "priced"),
+    "running_breakdown_docs": sql("""
+select session_id, prompt_id, book, model, calls, cost,
+  cast(sum(cost) over (partition by session_id, prompt_id) as decimal(28,9)) as total
+from (select p.session_id, p.prompt_id, c.book, c.model, count(*) as calls,
+    cast(sum(c.cost) as decimal(28,9)) as cost
+  from (select distinct session_id, call_seq // 100 as prompt_id from priced) p
+  join priced c on c.session_id = p.session_id and c.call_seq // 100 <= p.prompt_id
+  group by p.session_id, p.prompt_id, c.book, c.model) t""", "priced"),
     "call_costs": sql("select call_seq, session_id, model, book, cost from priced", "priced"),
     "call_costs_custom_prices": sql("""
 select call_seq, concat('nation-', session_id % 30) as model,
@@ -492,6 +501,9 @@ select doc_id as prompt_id, model, model_pos, case when lang = 'en'
 from documents, (values ('model-a', 0), ('model-b', 1)) m(model, model_pos)""",
     "map_responses": sql("""
 select prompt_id, 'model-a' as model, 0 as model_pos, response_a as response from text_answers
+union all select prompt_id, 'model-b', 1, response_b from text_answers""", "text_answers"),
+    "recorded_responses": sql("""
+select prompt_id, 'model-a' as model, 0 as model_pos, response_a as response from text_answers
 union all select prompt_id, 'model-b', 1, response_b from text_answers""", "text_answers"),
     "response_listing": sql("""
 select prompt_id, 0 as model_pos, concat(model, ':', chr(10), response, chr(10), repeat('-', 40))
@@ -565,6 +577,11 @@ select prompt_id, total, cast(model_kinds as integer) as model_kinds from text_a
 left join (select call_seq // 10 as prompt_id, cast(sum(cost) as decimal(28,9)) as total,
   count(distinct case when book = 'model_calls' then model end) as model_kinds
   from priced group by call_seq // 10) c using (prompt_id)""", "text_answers", "priced"),
+    "saved_code_docs_roundtrip": sql("""
+select o_orderkey as prompt_id, coalesce(w.winner, 'No valid code found') as winner,
+  s.model, s.status, s.score, s.passed, case when s.status <> 'error' then s.style_score end as style_score
+from orders left join code_won w on o_orderkey = w.prompt_id
+left join scored s on o_orderkey = s.prompt_id""", "code_won", "scored"),
     "saved_docs_roundtrip": sql("""
 select prompt_id, case when ok then 'text' else 'failed' end as kind, winner,
   case when ok then cast(json_extract_string(js, '$."model-a".correctness') as double) end as first_mark

@@ -31,7 +31,12 @@ from tallyforge.plans.evaluation import CodeEvaluator, TextEvaluator, priced_doc
 from tallyforge.settings import PriceBook, ScoreWeights
 from tallyforge.sources import documents as SD
 from tallyforge.sources.prompts import read_prompts, write_prompt_batches
-from tallyforge.sources.responses import responses_from_map, stripped
+from tallyforge.sources.responses import (
+    read_call_log,
+    read_responses,
+    responses_from_map,
+    stripped,
+)
 from tallyforge.sources.scratch import scratch_path
 from tallyforge.streaming import live
 from workload import views as V
@@ -280,6 +285,15 @@ def cost_snapshots(spark, sf):
     return _snapshots(spark, sf)
 
 
+@query
+def running_breakdown_docs(spark, sf):
+    """Documents with what their session's tracker shows at that prompt, opened again."""
+    calls = V.call_log(spark, sf).withColumn("prompt_id", F.floor(F.col("call_seq") / 100))
+    documents = calls.select("session_id", "prompt_id").distinct()
+    shown = priced_documents(documents, calls, session=["session_id"])
+    return C.breakdown_rows(shown, ["session_id", "prompt_id"])
+
+
 @query
 def cost_sum_own_vs_compat(spark, sf):
     return C.cost_over_documents(_snapshots(spark, sf))
@@ -489,6 +503,24 @@ def map_responses(spark, sf):
     return responses_from_map(V.text_answers(spark, sf))
 
 
+@query
+def recorded_responses(spark, sf):
+    """Answers saved as a table and read through the declared schema."""
+    path = scratch_path(spark, "responses")
+    responses_from_map(V.text_answers(spark, sf)).write.parquet(path)
+    return read_responses(spark, path)
+
+
+@query
+def recorded_calls(spark, sf):
+    """The call log saved as a table, read through the declared schema, and priced."""
+    path = scratch_path(spark, "call_log")
+    V.call_log(spark, sf).write.parquet(path)
+    return C.price_calls(read_call_log(spark, path)).select(
+        "call_seq", "session_id", "model", "book", "cost"
+    )
+
+
 @query
 def response_listing(spark, sf):
     return R.response_listing(V.answer_pairs(spark, sf)).orderBy("prompt_id", "model_pos")
@@ -644,6 +676,24 @@ def saved_docs_roundtrip(spark, sf):
     )
 
 
+@query
+def saved_code_docs_roundtrip(spark, sf):
+    """Code documents written as JSON by run, read back and opened."""
+    prompts = _code_prompts(spark, sf).withColumn("run_ts", F.date_format("run_at", "yyyy")).drop("run_at")
+    documents = CodeEvaluator().evaluate(prompts, V.code_runs(spark, sf))
+    path = scratch_path(spark, "code_documents")
+    SD.write_documents(documents.withColumn("prompt_id", F.col("prompt_id").cast("string")), path)
+    back = SD.read_documents(spark, path, multi_line=False)
+    return back.select(
+        F.col("prompt_id").cast("bigint").alias("prompt_id"), "winner",
+        F.explode_outer("results").alias("model", "result"),
+    ).select(
+        "prompt_id", "winner", "model", "result.status", "result.score",
+        F.col("result.tests.passed").alias("passed"),
+        F.col("result.style.style_score").alias("style_score"),
+    )
+
+
 # ---- streams -----------------------------------------------------------------
 
 def _event_stream(spark, sf):
