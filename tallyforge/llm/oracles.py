@@ -35,3 +35,45 @@ from documents d left join (
   from numbered l left join gone g using (doc_id, chunk) group by l.doc_id) k using (doc_id)
 """
 
+
+ORACLES["op2_jaccard"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []
+    when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end) as gram
+  from words),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+links as (
+  select a.doc_id as x, b.doc_id as y
+  from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id
+  join sizes m on m.doc_id = a.doc_id join sizes n on n.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, m.n, n.n having 100 * count(*) >= 90 * (m.n + n.n - count(*))),
+reach as (
+  select doc_id as x, doc_id as y from documents
+  union select r.x, l.y from reach r join links l on r.y = l.x)
+select r.x as doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.y) as component_id
+from reach r left join sizes s on s.doc_id = r.x group by r.x
+"""
+
+ORACLES["op7_vectors"] = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+    and len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from usable a join usable b
+    on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (
+  select vec_id as x, vec_id as y from embeddings
+  union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x, min(y) as component_id from reach group by x)
+select v.vec_id, count(l.y) as n_links, any_value(c.component_id) as component_id,
+  v.vec_id = any_value(c.component_id) as kept
+from embeddings v join least c on c.x = v.vec_id left join links l on l.x = v.vec_id group by v.vec_id
+"""

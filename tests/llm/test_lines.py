@@ -1,11 +1,14 @@
+import pytest
+
 import __spark_entry__ as entry
 from tallyforge.llm.line_chunks import dedup_lines
+from tallyforge.llm.oracles import ORACLES
 from tests.compare import connect, difference
 from tests.llm.helpers import SF, frame
 
 
-def test_query_equals_its_sql(spark):
-    name = "op3_line_chunks"
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
     assert difference(entry.queries()[name](spark, SF), connect(SF), entry.oracle_sql()[name]) is None
 
 
