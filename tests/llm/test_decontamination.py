@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from tallyforge.llm import edit_match
 from tallyforge.llm.edit_match import Pattern, decontaminate, match_items, normalized
+from tallyforge.llm.queries import QUERIES
 from tests.llm.helpers import SF, awkward_rows, frame
 
 
@@ -67,6 +68,17 @@ def test_documents_with_items_go(spark):
     assert holding and not holding & kept and len(kept) + len(holding) == len(rows)
 
 
+def test_query_lists_each_item_of_each_document(spark):
+    items = {r["item_id"]: normalized(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    exact = {(r["doc_id"], i) for r in docs for i, t in items.items() if t in normalized(r["text"])}
+    found = QUERIES["op9_decontamination"](spark, SF).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found if r["distance"] == 0} == exact
+    by_id = {r["doc_id"]: normalized(r["text"]) for r in docs}
+    for r in found:
+        assert r["distance"] == brute_distance(items[r["item_id"]], by_id[r["doc_id"]])
+
+
 def test_columns_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "some item text")], "item_id int, text string")
     docs = spark.createDataFrame(awkward_rows(), "doc_id bigint, text string, matches string")
