@@ -263,14 +263,17 @@ def jaccard_components(
     sets = materialize(document_sets(docs, id_col, text_col, size, percent), "jaccard-docs")
     firsts = sets.filter(F.col("signature").isNotNull()).groupBy("signature").agg(
         F.min("id").alias("least"),
-        F.min_by(F.struct(KEY, "n", "prefix", "parts"), KEY).alias("row"),
+        F.min_by(F.struct(KEY, "n", "parts"), KEY).alias("row"),
     )
     nodes = materialize(
         firsts.select(
             "signature", "least", "row.*", F.monotonically_increasing_id().alias("node")
         ), "jaccard-nodes",
     )
-    grams = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    # Prefixes stay in one table.  A node's row that is repeated only repeats its n-grams.
+    grams = sets.join(nodes.select("signature", KEY, "node"), ["signature", KEY]).select(
+        "node", "n", F.posexplode("prefix").alias("pos", "gram")
+    )
     # One member of each n-gram is its pivot; n-grams with one member end here.  The member
     # with the n-gram nearest to the front has the fewest rarer ones: of copies with edits,
     # the one closest to the original.
