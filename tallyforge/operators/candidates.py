@@ -72,7 +72,8 @@ def candidates_from_reports(
     `reports` (prompt_id, model, lint_stdout, report_json, avg_complexity) and `runs`
     (prompt_id, model, stdout) have one row per answer; all three tables meet on the
     same keys.  Candidates are compiled here unless `reports` has `syntax_ok`.  Every
-    text is reduced to its few values below the joins, so these shuffle narrow rows.
+    text but the answer and the scanner report, which the result keeps, is reduced to
+    its few values below the joins.
     """
     keys = ["prompt_id", "model"]
     allow_duplicate_keys(responses.sparkSession)
