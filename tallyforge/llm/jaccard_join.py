@@ -294,11 +294,13 @@ def jaccard_components(
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         groups = connected_components(links)
-    else:
-        rest = materialize(_cross_pairs(shared, groups, tried, percent), "jaccard-rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verifier.links(rest))
-            groups = connected_components(links)
+    # Also where a round found no pair: that no pivot is left untried says nothing about
+    # pairs of other members.
+    rest = materialize(_cross_pairs(shared, groups, tried, percent), "jaccard-rest")
+    if not rest.isEmpty():
+        new = verifier.links(rest)
+        links = new if links is None else links.unionByName(new)
+        groups = connected_components(links)
     members = nodes.select("signature", "node", "least")
     if groups is not None:
         members = members.join(groups, "node", "left")

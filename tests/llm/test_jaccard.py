@@ -74,6 +74,36 @@ def test_chain_over_several_pivots(spark):
     assert {r["component_id"] for r in found} == {100 - 38}
 
 
+def hidden_by_pivots():
+    """Two tables: B and C link, and whatever n-gram their prefixes share has a pivot A
+    that links with neither.  Fillers make all other words more frequent."""
+    def words(letter, n):
+        return [f"{letter}{i}" for i in range(n)]
+
+    def table(*texts, common):
+        fillers = [common + words(f"f{k}x", 2 * len(common)) for k in range(5)]
+        return [(i, " ".join(t), "") for i, t in enumerate([*texts, *fillers])]
+
+    t, s, w = words("t", 31), words("s", 5), words("w", 35)
+    # The pivots are too short for any pair: the first round finds none.
+    short = table(*[[x] for x in s[:3]], s[:3] + t[:17], s[:3] + t[1:18], common=t)
+    # A is compared with B and C in the first round; rarer words keep both behind it later.
+    tried = table(s + w, words("b", 4) + s + t, words("c", 4) + s + t, common=t + w)
+    return [(short, 90, (3, 4)), (tried, 80, (1, 2))]
+
+
+@pytest.mark.parametrize("case", [0, 1])
+def test_pairs_that_no_pivot_shows(spark, case):
+    rows, percent, linked = hidden_by_pivots()[case]
+    found = jaccard_components(frame(spark, rows), size=1, percent=percent).collect()
+    keys = [(r[0], r[1]) for r in rows]
+    groups = brute_components(keys, brute_sets([r[1] for r in rows], 1), percent)
+    ids = [r[0] for r in rows]
+    assert {(i, j) for i in ids for j in ids if i < j and groups[keys[i]] == groups[keys[j]]} == {linked}
+    mine = {r["id"]: r["component_id"] for r in found}
+    assert mine == {i: linked[0] if i in linked else i for i in ids}
+
+
 def test_one_of_each_group_stays(spark):
     rows = awkward_rows()
     kept = one_per_group(frame(spark, rows), size=5, percent=80)
