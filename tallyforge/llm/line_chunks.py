@@ -12,13 +12,19 @@ and removed at the others, after its bytes have been compared with the first one
    hot chunk is a skewed join which Spark splits.
 3. Documents are joined with their removed ranges.
 
+Chunks end every four lines or so, thus a short passage seldom holds a whole one.  With
+`passages`, the default, chunks are every two lines that follow each other and every
+line of over `LONG_LINE` words, and the union of the repeated ones is removed: all of
+any repeated passage of two lines or more.  A removed line has an equal one at an
+earlier place, so none is lost.  Without, chunks are those of the rolling hash.
+
 Null texts stay null and have no lines; an empty text is one empty line.  Rows with
 equal id and text count as one document.  Columns of `docs` keep names and order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.keys import KEY, row_key
@@ -27,6 +33,7 @@ from tallyforge.sources.scratch import materialize
 
 DIVISOR = 4
 WINDOW = 2
+LONG_LINE = 50
 _BASE = 31
 
 
@@ -79,13 +86,53 @@ def multi_line_chunks(
     )
 
 
+def passage_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As `multi_line_chunks`, for each pair of neighbouring lines and each long line."""
+    rows = docs.filter(F.col(text_col).isNotNull()).select(
+        row_key(id_col, text_col).alias(KEY), F.col(id_col).alias("__id"),
+        _lines(text_col).alias("__lines"),
+    )
+    rows = bind(rows, __bound_lines=F.col("__lines"))
+    lines = F.col("__bound_lines")
+
+    def pair(line, i):
+        piece = F.concat_ws("\n", line, F.get(lines, i + 1))
+        return F.struct(i.alias("start"), (i + 1).alias("stop"), F.xxhash64(piece).alias("digest"))
+
+    def single(line, i):
+        return F.struct(i.alias("start"), i.alias("stop"), F.xxhash64(line).alias("digest"))
+
+    def is_long(c):
+        words = F.split(F.trim(F.get(lines, c["start"])), r"\s+")
+        return F.size(words) > LONG_LINE
+
+    pairs = F.filter(F.transform(lines, pair), lambda c: c["stop"] < F.size(lines))
+    longs = F.filter(F.transform(lines, single), is_long)
+    # Digests are made before the rows, so that no row carries all lines.
+    return rows.select(KEY, "__id", F.explode(F.concat(pairs, longs)).alias("__c")).select(
+        KEY, "__id", "__c.*"
+    )
+
+
+def _united(removed: DataFrame) -> DataFrame:
+    """Ranges of lines without overlaps: maximal runs of the lines in any range."""
+    lines = removed.select(KEY, F.explode(F.sequence("start", "stop")).alias("line")).distinct()
+    # A document's lines at most are in one window.
+    run = F.col("line") - F.row_number().over(Window.partitionBy(KEY).orderBy("line"))
+    return lines.withColumn("run", run).groupBy(KEY, "run").agg(
+        F.min("line").alias("start"), F.max("line").alias("stop")
+    )
+
+
 def repeated_ranges(
-    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, divisor: int = DIVISOR
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, divisor: int = DIVISOR,
+    passages: bool = True,
 ) -> DataFrame:
     """Key and `ranges` (start and stop of each chunk to remove, ascending)."""
     # Repeated rows give each chunk once.
     chunks = materialize(
-        multi_line_chunks(docs, id_col, text_col, window, divisor), "line-chunks"
+        passage_chunks(docs, id_col, text_col) if passages
+        else multi_line_chunks(docs, id_col, text_col, window, divisor), "line-chunks"
     )
     first = F.min(F.struct("__id", KEY, "start")).alias("first")
     last = F.max(F.struct("__id", KEY, "start")).alias("last")
@@ -95,7 +142,7 @@ def repeated_ranges(
         ((F.col(KEY) == F.col(f"first.{KEY}")) & (F.col("start") == F.col("first.start")))
         .alias("is_first"),
     )
-    # A document's own chunks: as many as it has lines, at most.
+    # A document's own chunks: at most two for each of its lines.
     wanted = candidates.groupBy(KEY).agg(
         F.collect_set(F.struct("start", "stop", "digest", "is_first")).alias("__wanted")
     )
@@ -104,19 +151,24 @@ def repeated_ranges(
     )
     found = bind(
         texts.join(wanted, KEY), __bound_lines=F.split(F.col("__text"), "\n", -1)
-    ).select(KEY, "__bound_lines", F.explode("__wanted").alias("__c"))
+    )
+    lines = F.col("__bound_lines")
+
+    def with_piece(c):
+        piece = F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"] + 1), "\n")
+        return F.struct(
+            *[c[n].alias(n) for n in ("start", "stop", "digest", "is_first")], piece.alias("piece")
+        )
+
     pieces = materialize(
-        found.select(
-            KEY, "__c.*",
-            F.array_join(
-                F.slice("__bound_lines", F.col("__c.start") + 1,
-                        F.col("__c.stop") - F.col("__c.start") + 1), "\n",
-            ).alias("piece"),
-        ), "line-pieces",
+        found.select(KEY, F.explode(F.transform("__wanted", with_piece)).alias("__c"))
+        .select(KEY, "__c.*"), "line-pieces",
     )
     # Repeated rows repeat the first piece; one is enough.
     firsts = pieces.filter("is_first").groupBy("digest").agg(F.any_value("piece").alias("kept"))
     removed = pieces.filter(~F.col("is_first")).join(firsts, "digest").filter("piece = kept")
+    if passages:
+        removed = _united(removed)
     return removed.groupBy(KEY).agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")
     )
@@ -124,12 +176,12 @@ def repeated_ranges(
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    window: int = WINDOW, divisor: int = DIVISOR,
+    window: int = WINDOW, divisor: int = DIVISOR, passages: bool = True,
 ) -> DataFrame:
     """`docs` with repeated chunks taken out of the text, plus `n_lines` (before) and
     `n_removed_lines`; own columns of these two names are replaced."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    ranges = repeated_ranges(docs, id_col, text_col, window, divisor)
+    ranges = repeated_ranges(docs, id_col, text_col, window, divisor, passages)
     joined = docs.select(*own, row_key(id_col, text_col).alias(KEY)).join(ranges, KEY, "left")
     bound = bind(joined, __bound_lines=_lines(text_col))
     lines, gone = F.col("__bound_lines"), F.col("ranges")

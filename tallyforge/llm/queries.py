@@ -52,7 +52,8 @@ def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op3_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    # Its SQL says which chunks there are.
+    kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"), passages=False)
     return kept.select(
         "doc_id", "n_lines", "n_removed_lines",
         F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),

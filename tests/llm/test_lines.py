@@ -38,5 +38,43 @@ def test_awkward_rows(spark):
     assert by[5][0]["text"] == by[6][0]["text"] == "one line"
 
 
+def without_passages(rows):
+    """Texts without every later place of two lines, or of a line of over 50 words."""
+    seen, out = set(), {}
+    for i, text in sorted((i, t) for i, t in rows if t is not None):
+        lines, gone = text.split("\n"), set()
+        for k, line in enumerate(lines):
+            for piece in [lines[k : k + 2]] * (k + 1 < len(lines)) + [[line]] * (len(line.split()) > 50):
+                if tuple(piece) in seen:
+                    gone |= set(range(k, k + len(piece)))
+                seen.add(tuple(piece))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_short_passages_inside_documents(spark, n):
+    """A passage of `n` lines and over 50 words goes from all documents but the first."""
+    rows, want = [], {}
+    for p in range(12):
+        passage = [" ".join(f"p{p}l{k}w{w}" for w in range(60 // n + 1)) for k in range(n)]
+        for d in range(3):
+            before = [f"own {p} {d} {k}" for k in range(2 + p % 4)]
+            after = [f"end {p} {d} {k}" for k in range(3)]
+            rows.append((3 * p + d, "\n".join(before + passage + after), ""))
+            want[3 * p + d] = "\n".join(before + (passage if d == 0 else []) + after)
+    found = dedup_lines(frame(spark, rows))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == want
+
+
+def test_pipeline_stage_removes_all_repeated_passages(spark):
+    from corpus_pipeline import line_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = without_passages([(r["doc_id"], r["text"]) for r in docs.collect()])
+    found = {r["doc_id"]: r["text"] for r in line_dedup(spark, docs, SF).collect()}
+    assert {i: t for i, t in found.items() if t is not None} == want
+
+
 def test_empty_table(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
