@@ -21,7 +21,7 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-_V = r"(?: licen[cs]e)?(?: version| v)?"
+_V = r"(?: licen[cs]e)?(?: version| ?v)?"
 
 #: label, pattern of the name, keyword
 FAMILIES = (
@@ -152,7 +152,7 @@ TEXTS = (
 
 #: A text in which none of these stands holds no notice; tried before any pattern.
 ROOTS = (
-    "licen", "reserved", "copyright", "spdx", "hereby", "public domain", "redistribut",
+    "licen", "reserved", "copyright", "spdx", "hereby", "domain", "redistribut",
     "proprietary", "advertising", "endorse", "misrepresented", "unencumbered", "waived",
     "purpose", "want to", "released", "distributed", "available", "published", "provided",
     "covered",

@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits, A-Z lower-cased, non-ASCII characters included.
 A text is first searched for root strings; only where one stands are its words taken,
-and only rules whose keyword is among the words are tried.  Hits are resolved in order
+and only rules whose keyword is among the words, as such or with a number joined to it
+(gpl2, gplv2), are tried.  Hits are resolved in order
 of priority, then length: a hit that lies within an accepted one is dropped.
 
 Beside the rules, fixed phrases are counted at every place where their words stand
@@ -30,6 +31,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 BASE_WEIGHT = 0.8
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_NUMBER = re.compile(r"v?[0-9]+$")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
@@ -79,7 +81,9 @@ class Scanner:
                     break
                 if words[at : at + n] == phrase:
                     base.append((at, label))
-        rules = {r.name: r for w in self.by_word.keys() & set(words) for r in self.by_word[w]}
+        seen = set(words)
+        seen |= {_NUMBER.sub("", w) for w in seen}
+        rules = {r.name: r for w in self.by_word.keys() & seen for r in self.by_word[w]}
         if not rules:
             return base, []
         joined = " ".join(words)

@@ -53,6 +53,16 @@ def test_longer_and_stronger_hits_win():
     assert labels("sie fuhr mit dem zug, um mit ihr zu reden") == ([], [])
 
 
+def test_joined_numbers_and_split_roots():
+    for name, label in (("GPL", "gpl"), ("LGPL", "lgpl"), ("AGPL", "agpl")):
+        for number in "23" if name != "AGPL" else "3":
+            for joined in (f"{name}{number}", f"{name}v{number}", f"{name} v{number}", f"{name}-{number}.0"):
+                assert labels(f"Licensed under the {joined}.") == ([f"{label}-{number}.0"], []), joined
+                assert labels(f"the {joined} license") == ([f"{label}-{number}.0"], []), joined
+    for gap in (" ", "\n", "  ", " - "):
+        assert labels(f"put into the public{gap}domain") == (["public-domain"], [])
+
+
 def test_contained_hits_are_dropped():
     strong, weak = sorted(build_rules(), key=lambda r: -r.priority)[:: len(build_rules()) - 1]
     assert resolve([(3, 5, weak), (2, 6, strong), (5, 8, weak)]) == [(2, 6, strong), (5, 8, weak)]
