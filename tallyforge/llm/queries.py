@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import knn_quality, toxicity
 from tallyforge.llm.bpe import encode_texts, read_tokenizer
+from tallyforge.llm.centroids import cluster_vectors, with_inertia
+from tallyforge.llm.chat_format import format_chats, read_learned, read_turns
 from tallyforge.llm.edit_match import match_items
 from tallyforge.llm.jaccard_join import jaccard_components
 from tallyforge.llm.labelled import id_remainder
 from tallyforge.llm.license_scan import scan_licenses
 from tallyforge.llm.line_chunks import dedup_lines
+from tallyforge.llm.phrases import mine_phrases
 from tallyforge.llm.sharding import shard_documents
 from tallyforge.llm.suffix_dedup import remove_repeats
 from tallyforge.llm.vector_lsh import near_vectors
+from tallyforge.operators.binding import bind
 
 QUERIES = {}
 
@@ -130,3 +134,37 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return matched.select("doc_id", F.inline("matches")).select(
         "doc_id", F.col("item").alias("item_id"), "distance", "end"
     )
+
+
+@query
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, centroids = cluster_vectors(_table(spark, sf, "embeddings"))
+    return with_inertia(assigned, centroids)
+
+
+@query
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf, "documents"))
+
+
+#: The conversation that the query adds: both turns look like another template's marks.
+ODD_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op13_chats(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CHAT, "conv_id bigint, turn bigint, role string, text string")
+    chats = format_chats(turns.unionByName(odd))
+    read = bind(
+        chats, turns=read_turns(F.col("formatted")),
+        learned=read_learned(F.col("formatted"), F.col("loss_mask")),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )

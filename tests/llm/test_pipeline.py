@@ -75,6 +75,6 @@ def test_tokens(stages):
 
 
 def test_registered(spark, stages):
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     rows = entry.queries()["pipeline"](spark, SF).select("doc_id", "n_tokens").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, stages[5].select("doc_id", "n_tokens").collect()))
