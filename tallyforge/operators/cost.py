@@ -89,6 +89,25 @@ def cost_total(priced: DataFrame, session: Sequence[str] = ("session_id",)) -> D
     )
 
 
+def cost_rollup_and_total(
+    priced: DataFrame, session: Sequence[str] = ("session_id",)
+) -> DataFrame:
+    """`cost_rollup` and `cost_total` from one scan and one shuffle.
+
+    Rows of the total have neither book nor model and `is_total` true.  Grouping sets send
+    each partial aggregate to both of its groups, so the log is read and shuffled once;
+    rows of a missing model stay apart from the total.
+    """
+    keys = [F.col(k) for k in session]
+    grouped = priced.groupingSets(
+        [[*keys, F.col("book"), F.col("model")], keys], *keys, F.col("book"), F.col("model")
+    )
+    return grouped.agg(
+        (F.grouping("book") == 1).alias("is_total"), F.count("*").alias("calls"),
+        _cost_sum().alias("cost"), F.min("call_seq").alias("first_seq"),
+    )
+
+
 def running_cost(
     priced: DataFrame, session: Sequence[str] = ("session_id",), ranges: int | None = None
 ) -> DataFrame:

@@ -64,11 +64,11 @@ def running_sums(
         _RANGE, "first", F.lag(F.struct(*[f"end.{k}" for k in keys])).over(before).alias("previous"),
         F.lag("through").over(before).alias("through"),
     ).filter(F.col("first").eqNullSafe(F.col("previous"))).select(
-        F.col(_RANGE).alias("__of"), "first", "through"
+        F.col(_RANGE).alias("__of"), F.col("first").alias("__first"), F.col("through").alias("__through")
     )
     same = reduce(
         lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"first.{k}")) for k in keys], F.col(_RANGE) == F.col("__of"),
+        [F.col(k).eqNullSafe(F.col(f"__first.{k}")) for k in keys], F.col(_RANGE) == F.col("__of"),
     )
     window = (
         Window.partitionBy(_RANGE, *keys).orderBy(seq)
@@ -78,7 +78,7 @@ def running_sums(
     carried = ranged.join(F.broadcast(offsets), same, "left")
 
     def total(name: str, kind: str) -> Column:
-        carry = F.coalesce(F.col(f"through.{name}"), F.lit(0).cast(kind))
+        carry = F.coalesce(F.col(f"__through.{name}"), F.lit(0).cast(kind))
         return (F.coalesce(F.sum(name).over(window), F.lit(0)) + carry).cast(kind).alias(name)
 
     return carried.select(*columns, *[total(n, t) for n, (_, t) in sums.items()])

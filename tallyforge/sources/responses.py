@@ -17,6 +17,25 @@ def read_call_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(schemas.CALL_LOG).format(fmt).load(path)
 
 
+def read_call_stream(
+    spark: SparkSession, path: str, fmt: str = "parquet", horizon: str | None = "1 day",
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """The call log as it arrives, each call once even where files are delivered again.
+
+    A call is known by (session, call_seq).  Its key is held until the newest timestamp
+    is `horizon` ahead of it; what arrives later than that is dropped, as it cannot be
+    told from a replay.  Without `horizon` nothing is dropped and nothing is held.
+    """
+    reader = spark.readStream.schema(schemas.CALL_LOG).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    calls = reader.load(path)
+    if horizon is None:
+        return calls
+    return calls.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["session_id", "call_seq"])
+
+
 def responses_from_map(
     documents: DataFrame, key: str = "prompt_id", responses: str = "responses"
 ) -> DataFrame:

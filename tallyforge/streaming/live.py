@@ -77,6 +77,27 @@ def run_window_costs(
     )
 
 
+def run_call_costs(
+    calls: DataFrame, path: str, prices: PriceBook | DataFrame = PriceBook(),
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Drain what has arrived; return calls and cost so far per (session, book, model).
+
+    Like `live_cost_rollup`, but each micro-batch adds its own sums, so the stream may be
+    one that already keeps state (`read_call_stream`).
+    """
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("session_id", "book", "model").agg(
+            F.sum("calls").alias("calls"), F.sum("cost").cast(schemas.TOTAL_COST).alias("cost"),
+            F.min("first_seq").alias("first_seq"), F.max(_BATCH).alias(_BATCH),
+        )
+
+    return _drain(
+        calls, path, lambda batch: live_cost_rollup(batch, prices), sums, compact_every, "append"
+    )
+
+
 def _drain(
     stream: DataFrame, path: str, rows_of: Callable[[DataFrame], DataFrame],
     merge: Callable[[DataFrame], DataFrame], compact_every: int, mode: str,

@@ -1,11 +1,15 @@
+import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tallyforge import schemas
 from tallyforge.operators import cost as C
 from tallyforge.operators import winners as W
-from tallyforge.sources.responses import read_call_log
+from tallyforge.sources.responses import read_call_log, read_call_stream
 from tallyforge.sources.scratch import scratch_path
 from tallyforge.streaming import live
+from tallyforge.streaming.tracker import run_reset_sessions
 
 START = datetime(2024, 1, 1)
 
@@ -79,3 +83,40 @@ def test_an_idle_stream_gives_empty_tables(spark):
     assert rollup.count() == 0
     windows = live.run_window_costs(stream(spark, log), scratch_path(spark, "windows"), "1 hour")
     assert windows.count() == 0
+
+
+def test_replayed_files_count_once(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "calls")
+    # Each part is delivered, then some of them again, in another order and cut otherwise.
+    for first, last in ((0, 60), (30, 120), (0, 60)):
+        calls(spark, first, last).coalesce(1).write.mode("append").parquet(log)
+        live_rows = live.run_call_costs(
+            read_call_stream(spark, log, horizon="1 day", files_per_batch=1), out, compact_every=3
+        )
+        batch = C.cost_rollup(C.price_calls(read_call_log(spark, log).dropDuplicates(["session_id", "call_seq"])))
+        columns = sorted(batch.columns)
+        assert sorted(live_rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+    everything = live.run_call_costs(
+        read_call_stream(spark, log, horizon=None), scratch_path(spark, "calls")
+    )
+    assert everything.agg(F.sum("calls")).first()[0] == read_call_log(spark, log).count()
+
+
+def test_resets_in_any_order(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "tracker")
+    rng = random.Random(7)
+    order = list(range(240))
+    rng.shuffle(order)
+    reset = (F.col("call_seq") % 17 == 5) | (F.col("call_seq") < 3)
+    for n, first in enumerate(range(0, 240, 80)):
+        # The last file repeats calls that were there before.
+        mine = order[first:first + 80] + (order[:20] if n == 2 else [])
+        calls(spark, 0, 240).filter(F.col("call_seq").isin(mine)).coalesce(1).write.mode("append").parquet(log)
+        live_rows = run_reset_sessions(
+            stream(spark, log), out, reset, block_calls=32, horizon="1 day", compact_every=2
+        )
+        so_far = C.price_calls(read_call_log(spark, log).dropDuplicates(["session_id", "call_seq"]))
+        numbered = C.number_sessions(so_far, reset, ["session_id"])
+        batch = C.cost_total(numbered, ["session_id", "session_no"])
+        columns = sorted(batch.columns)
+        assert sorted(live_rows.select(columns).collect()) == sorted(batch.select(columns).collect())

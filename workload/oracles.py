@@ -362,6 +362,10 @@ select session_no, count(*) as calls, cast(sum(cost) as decimal(28,9)) as total
 from (select *, cast(sum(case when is_reset then 1 else 0 end) over (order by call_seq
   rows unbounded preceding) as bigint) as session_no from priced) t group by session_no""",
         "priced"),
+    "cost_rollup_and_total": sql("""
+select session_id, book, model, false as is_total, calls, cost, first_seq from rollup
+union all select session_id, null, null, true, cast(sum(calls) as bigint), cast(sum(cost) as decimal(28,9)),
+  min(first_seq) from rollup group by session_id""", "rollup"),
     "cost_breakdown_doc": sql("""
 select r.session_id, t.total, book, model, calls, r.cost from rollup r
 join (select session_id, cast(sum(cost) as decimal(28,9)) as total from rollup group by session_id) t
@@ -487,6 +491,14 @@ select doc_id, text[1:50] as preview, upper(lang) as label,
     "prompt_batch": """
 select item_id // 50000 as batch, cast(row_number() over (partition by item_id // 50000
   order by item_id) - 1 as integer) as prompt_idx, text as prompt from benchmark""",
+    "prompt_arrays": """
+select batch, cast(row_number() over (partition by batch order by doc_id) - 1 as integer) as prompt_idx,
+  prompt from (
+  select doc_id, text as prompt, (sum(strlen(coalesce(text, '')) + 4) over (order by doc_id)
+    - strlen(coalesce(text, '')) - 4)::bigint // 1048576 as batch from documents) t""",
+    "single_prompt_responses": sql("""
+select 0 as prompt_idx, prompt, prompt_id, model, response from answers
+where prompt = (select min(prompt) from answers)""", "answers"),
     "prompt_fanout": """
 select batch, prompt_idx, prompt, model_pos, model from (
   select item_id // 50000 as batch, cast(row_number() over (partition by item_id // 50000
@@ -587,6 +599,7 @@ select prompt_id, case when ok then 'text' else 'failed' end as kind, winner,
   case when ok then cast(json_extract_string(js, '$."model-a".correctness') as double) end as first_mark
 from judged""", "judged"),
     "stream_cost_rollup": sql("select * from rollup", "rollup"),
+    "stream_call_log": sql("select * from rollup", "rollup"),
     "stream_cost_windows": sql("""
 select strftime(h, '%Y-%m-%d %H:%M:%S') as hour, book, model, calls, cost from (
   select date_trunc('hour', ts) as h, book, model, count(*) as calls,
@@ -596,6 +609,7 @@ select winner, count(*) as wins, min(prompt_id) as first_win from judged
 where winner is not null and winner <> '' group by winner""", "judged"),
 }
 
+ORACLES["stream_reset_sessions"] = ORACLES["cost_reset_sessions"]
 ORACLES["stub_judge"] = f"""
 select prompt_id, concat('{{"winner": "', prompt_id, '"}}') as response,
   length(judge_prompt) as input_tokens, length(judge_prompt) % 7 as output_tokens

@@ -30,15 +30,23 @@ from tallyforge.operators.snippets import finding_count
 from tallyforge.plans.evaluation import CodeEvaluator, TextEvaluator, priced_documents
 from tallyforge.settings import PriceBook, ScoreWeights
 from tallyforge.sources import documents as SD
-from tallyforge.sources.prompts import read_prompts, write_prompt_batches
+from tallyforge.sources.prompts import (
+    read_prompt_arrays,
+    read_prompts,
+    single_prompt,
+    write_prompt_arrays,
+    write_prompt_batches,
+)
 from tallyforge.sources.responses import (
     read_call_log,
+    read_call_stream,
     read_responses,
     responses_from_map,
     stripped,
 )
 from tallyforge.sources.scratch import scratch_path
 from tallyforge.streaming import live
+from tallyforge.streaming.tracker import run_reset_sessions
 from workload import views as V
 
 QUERIES = {}
@@ -224,6 +232,11 @@ def cost_total(spark, sf):
     return C.cost_total(_priced(spark, sf))
 
 
+@query
+def cost_rollup_and_total(spark, sf):
+    return C.cost_rollup_and_total(_priced(spark, sf))
+
+
 @query
 def cost_running(spark, sf):
     return C.running_cost(_priced(spark, sf)).select("session_id", "call_seq", "running_cost")
@@ -473,6 +486,25 @@ def prompt_batch(spark, sf):
     return _batches(spark, sf)
 
 
+@query
+def prompt_arrays(spark, sf):
+    """Whole texts as arrays of a megabyte each, every array split and read back."""
+    path = scratch_path(spark, "prompt_arrays")
+    texts = V.table(spark, sf, "documents").select("doc_id", "text")
+    write_prompt_arrays(texts, path, "doc_id", "text", file_bytes=1 << 20)
+    return read_prompt_arrays(spark, path).withColumn("batch", F.col("batch").cast("bigint"))
+
+
+@query
+def single_prompt_responses(spark, sf):
+    """The answers to one prompt, by its text, out of all recorded conversations."""
+    answers = V.answers(spark, sf)
+    first = answers.agg(F.min("prompt").alias("prompt")).first()["prompt"]
+    return single_prompt(spark, first).join(answers, "prompt").select(
+        "prompt_idx", "prompt", "prompt_id", "model", "response"
+    )
+
+
 @query
 def prompt_fanout(spark, sf):
     return P.fan_out(_batches(spark, sf), ["model-a", "model-b"])
@@ -710,6 +742,25 @@ def stream_cost_rollup(spark, sf):
     )
 
 
+@query
+def stream_call_log(spark, sf):
+    """The call log delivered twice, file by file, and each call counted once."""
+    path = scratch_path(spark, "delivered")
+    for _ in range(2):
+        V.call_log(spark, sf).write.mode("append").parquet(path)
+    calls = read_call_stream(spark, path, horizon="30 days", files_per_batch=1)
+    return live.run_call_costs(calls, scratch_path(spark, "call_costs"))
+
+
+@query
+def stream_reset_sessions(spark, sf):
+    """Totals between resets of every session, kept as the log arrives."""
+    calls = V.as_call_log(_event_stream(spark, sf))
+    return run_reset_sessions(
+        calls, scratch_path(spark, "reset_sessions"), F.col("is_reset"), block_calls=256
+    )
+
+
 @query
 def stream_cost_windows(spark, sf):
     """Hourly costs of every hour, open ones and late calls included."""
