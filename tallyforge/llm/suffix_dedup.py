@@ -207,11 +207,26 @@ def _sorted_runs(marks: np.ndarray, slices: int) -> Iterator[tuple[int, np.ndarr
             yield k, order[low:high]
 
 
+def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each piece, of rows sorted by piece."""
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("anchor", "d1", "d2")], axis=1)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        if last is not None and len(keys):
+            new[0] = (keys[0] != last).any()
+        if len(keys):
+            last = keys[-1].copy()
+        if new.any():
+            yield batch.filter(pa.array(new))
+
+
 def _shard(length: int):
     """Covered ranges of each piece; for spread anchors also the shard's sorted runs, one
     row per slice of values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["anchor", "shard"], SHARD_PIECES):
+        for table, starts in whole_groups(_one_each(batches), ["anchor", "shard"], SHARD_PIECES):
             texts = table.column("piece").to_pylist()
             strings = table.column("strings").to_numpy().astype(np.int64)
             weights = table.column("weight").to_numpy().astype(np.int64)
@@ -330,7 +345,7 @@ def repeated_pieces(docs: DataFrame, length: int, anchor: int) -> tuple[DataFram
     cut = texts.select(
         "w.*", F.expr(f"substring(bytes, w.start + 1, w.strings + {length - 1})").alias("piece")
     )
-    # Repeated rows of a text give a piece twice, which only repeats what is repeated.
+    # Repeated rows of a text give a piece again; a shard takes it once.
     shard = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "d1", "d2")
     found = materialize(shard.mapInArrow(_shard(length), _SHARD_SCHEMA), "suffix-shards")
     merged = (
@@ -355,7 +370,7 @@ def remove_repeats(
     )
     rows, covered = repeated_pieces(narrow, length, anchor)
     per_text = rows.join(covered, ["anchor", "d1", "d2"]).groupBy("id", "text_hash").agg(
-        F.collect_list(F.struct("starts", "runs")).alias("covered")
+        F.collect_set(F.struct("starts", "runs")).alias("covered")
     ).toDF("__id", "__hash", "covered")
     joined = narrow.join(
         per_text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left"

@@ -70,3 +70,11 @@ def test_clashing_columns(spark):
     rows = [(1, "abc " * 200, 7, "x"), (2, "abc " * 200, 8, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, anchor int, covered string")
     assert [len(r["kept"]) for r in remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_very_many_repeated_rows(spark):
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(80))
+    rows = [(5, text, "")] * 1000 + [(None, text, "")] * 1000 + [(6, "alone " + text[:300], "")]
+    found = remove_repeats(frame(spark, rows), length=400).collect()
+    assert len(found) == 2001 and len(text) > 400
+    assert all((len(r["kept"]) == 0) == (r["doc_id"] != 6) for r in found)
