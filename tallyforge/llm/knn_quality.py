@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.arrow import text_blocks, text_bytes, word_spans
 from tallyforge.llm.hashing import word_hashes
-from tallyforge.llm.labelled import sample_labels
+from tallyforge.llm.labelled import sample_labels, sampled_texts
 
 LABELLED_PER_CLASS = 2000
 TRIGRAM_CELLS = 3072
@@ -130,20 +130,18 @@ def labelled_counts(
     """Term counts and labels of the sampled documents (bounded by the sample)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "__text"):
-            counts = np.minimum(term_counts(*text_bytes(block.column("__text"))), 65535)
-            raw = [row.tobytes() for row in counts.astype("<u2")]
+            counts = term_counts(*text_bytes(block.column("__text")))
+            raw = [row.tobytes() for row in counts.astype("<u4")]
             yield pa.RecordBatch.from_arrays(
                 [block.column("label"), pa.array(raw, pa.binary())], ["label", "counts"]
             )
 
-    # The sample has at most two times LABELLED_PER_CLASS rows.
-    chosen = docs.select(id_col, F.col(text_col).alias("__text")).join(
-        F.broadcast(sample), id_col
-    ).select("__text", "label")
+    # At most two times LABELLED_PER_CLASS rows.
+    chosen = sampled_texts(docs, sample, id_col, text_col)
     rows = chosen.mapInArrow(run, "label int, counts binary").collect()
     counts = np.zeros((len(rows), CELLS), np.float32)
     for i, r in enumerate(rows):
-        counts[i] = np.frombuffer(r["counts"], "<u2")
+        counts[i] = np.frombuffer(r["counts"], "<u4")
     return counts, np.array([r["label"] for r in rows], np.float32)
 
 

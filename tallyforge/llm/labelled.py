@@ -11,6 +11,17 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(`__text`, label) of the sampled ids, thus no more rows than `sample` has.
+
+    Of an id that stands in several rows, the text with the least hash is taken.
+    """
+    chosen = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)
+    return chosen.groupBy(id_col).agg(
+        F.min(F.struct(F.xxhash64("__text").alias("hash"), "__text", "label")).alias("one")
+    ).select("one.__text", "one.label")
+
+
 def sample_labels(
     labels: DataFrame, id_col: str, label_col: str, learn: Column, per_class: int
 ) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.arrow import lower_ascii, text_blocks, text_bytes, word_spans
 from tallyforge.llm.hashing import word_hashes
-from tallyforge.llm.labelled import sample_labels
+from tallyforge.llm.labelled import sample_labels, sampled_texts
 
 LABELLED_PER_CLASS = 5000
 CELL_BITS = 18
@@ -207,10 +207,8 @@ def fit(
                 [block.column("label"), pa.array(raw, pa.binary())], ["label", "cells"]
             )
 
-    # The sample has at most two times `per_class` rows.
-    chosen = docs.select(id_col, F.col(text_col).alias("__text")).join(
-        F.broadcast(sample), id_col
-    ).select("__text", "label")
+    # At most two times `per_class` rows.
+    chosen = sampled_texts(docs, sample, id_col, text_col)
     rows = chosen.mapInArrow(run, "label int, cells binary").collect()
     parts = [np.frombuffer(r["cells"], "<i4") for r in rows]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(int)

@@ -86,3 +86,23 @@ def test_awkward_rows_and_labels(spark, module, label, score):
         assert len(out) == len(awkward_rows()) and all(0 <= r["score"] <= 1 for r in out)
     model = module.fit(frame(spark, []), spark.createDataFrame([], schema), F.lit(True), label_col=label)
     assert score(frame(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_repeated_ids_do_not_widen_the_sample(spark, label):
+    from tallyforge.llm.labelled import sample_labels, sampled_texts
+
+    docs = spark.range(3000).select(
+        (F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")
+    )
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], f"doc_id bigint, {label} int")
+    sample = sample_labels(labels, "doc_id", label, F.lit(True), 2)
+    rows = sampled_texts(docs, sample, "doc_id", "text").collect()
+    assert sorted(r["label"] for r in rows) == [0, 1, 1]
+
+
+def test_stored_counts_are_not_clipped(spark):
+    docs = spark.createDataFrame([(1, "ab " * 90_000), (2, "cd ef")], "doc_id bigint, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, label int")
+    counts, labels = knn_quality.labelled_counts(docs, sample, "doc_id", "text")
+    assert counts[labels == 1].max() > 65535
