@@ -122,8 +122,10 @@ FAMILIES = (
 #: Forms in which a family is named: form, priority, weight, pattern around the name.
 FORMS = (
     ("tag", 80, 0.95, r"\bspdx license identifier {}\b"),
-    ("grant", 60, 0.9, r"\b(?:licensed|released|distributed|available|published|provided|covered) (?:under|by|with)"
-     r"(?: the)?(?: terms of(?: the)?)? {}(?: licen[cs]e)?\b"),
+    # "Published by Apache" grants nothing: without "under", the word licence must follow.
+    ("grant", 60, 0.9, r"\b(?:licensed|released|distributed|available|published|provided|covered)"
+     r" (?:under(?: the)?(?: terms of(?: the)?)? {0}(?: licen[cs]e)?"
+     r"|(?:by|with)(?: the)?(?: terms of(?: the)?)? {0} licen[cs]e)\b"),
     ("name", 40, 0.8, r"\b(?:the )?{} licen[cs]es?\b"),
 )
 

@@ -82,3 +82,11 @@ def test_awkward_rows(spark):
             words = words_of("İ MIT License mit-license ÄMIT license")
             assert r["n_words"] == len(words) and len(r["base_starts"]) == len(brute_base(words))
     assert scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_makers_grant_no_licence():
+    for text in ("provided with Python", "published by Elastic in 2019", "available with Ruby",
+                 "covered by Apache troops", "released with Vim 9", "distributed by Apple"):
+        assert labels(text) == ([], [])
+    assert labels("provided with the Python license")[0] == ["python-2.0"]
+    assert labels("released under Ruby")[0] == ["ruby"]
