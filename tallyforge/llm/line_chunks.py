@@ -15,8 +15,10 @@ and removed at the others, after its bytes have been compared with the first one
 Chunks end every four lines or so, thus a short passage seldom holds a whole one.  With
 `passages`, the default, chunks are every two lines that follow each other and every
 line of over `LONG_LINE` words, and the union of the repeated ones is removed: all of
-any repeated passage of two lines or more.  A removed line has an equal one at an
-earlier place, so none is lost.  Without, chunks are those of the rolling hash.
+any repeated passage of two lines or more.  Two lines with fewer than `PAIR_CHARS`
+characters besides white space (braces, blank lines) are no passage and stay where no
+other repeated pair covers them.  A removed line has an equal one at an earlier place, so
+none is lost.  Without, chunks are those of the rolling hash.
 
 Null texts stay null and have no lines; an empty text is one empty line.  Rows with
 equal id and text count as one document.  Columns of `docs` keep names and order.
@@ -34,6 +36,7 @@ from tallyforge.sources.scratch import materialize
 DIVISOR = 4
 WINDOW = 2
 LONG_LINE = 50
+PAIR_CHARS = 32
 _BASE = 31
 
 
@@ -106,7 +109,11 @@ def passage_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words = F.split(F.trim(F.get(lines, c["start"])), r"\s+")
         return F.size(words) > LONG_LINE
 
-    pairs = F.filter(F.transform(lines, pair), lambda c: c["stop"] < F.size(lines))
+    def is_passage(c):
+        both = F.concat(F.get(lines, c["start"]), F.get(lines, c["stop"]))
+        return (c["stop"] < F.size(lines)) & (F.length(F.regexp_replace(both, r"\s+", "")) >= PAIR_CHARS)
+
+    pairs = F.filter(F.transform(lines, pair), is_passage)
     longs = F.filter(F.transform(lines, single), is_long)
     # Digests are made before the rows, so that no row carries all lines.
     return rows.select(KEY, "__id", F.explode(F.concat(pairs, longs)).alias("__c")).select(

@@ -29,7 +29,27 @@ def test_stages(stages):
     ]
     assert all(s.columns == stages[0].columns for s in stages[:-1])
     counts = [s.count() for s in stages]
-    assert counts[0] > counts[1] == counts[2] > counts[3] > counts[4] == counts[5] > 0
+    assert counts[0] > counts[1] >= counts[2] > counts[3] > counts[4] == counts[5] > 0
+
+
+def test_no_result_is_empty(spark, stages):
+    had_text = {r["doc_id"] for r in stages[1].collect() if (r["text"] or "").strip()}
+    for r in stages[5].collect():
+        assert r["n_tokens"] > 0 or r["doc_id"] not in had_text
+
+
+def test_planted_copies_leave_one(spark):
+    text = "\n".join(f"line {i} of a passage with several words in it, number {i * i}" for i in range(12))
+    rows = [(1, text, "own", 5), (2, text, "own", 6), (3, text + "\nand an end of its own", "own", 7),
+            (4, None, "own", 8), (5, "", "own", 9), (6, "}\n}\nshort", "own", 1), (7, "else\n}\n}", "own", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string, n_chars bigint")
+    kept = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: r for r in kept.collect()}
+    assert sorted(found) == [1, 3, 4, 5, 6, 7]
+    assert found[1]["text"] == text and found[3]["text"] == "and an end of its own"
+    assert found[6]["text"] == "}\n}\nshort" and found[7]["text"] == "else\n}\n}"
+    assert {r["n_lines"] for r in found.values()} == {"own"}
 
 
 def test_bad_documents_go_and_good_ones_stay(spark, stages):
