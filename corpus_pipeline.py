@@ -27,9 +27,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks of lines; n_chars follows the text."""
-    kept = dedup_lines(docs)
-    return kept.select(*[
+    """Documents without repeated chunks of lines; n_chars follows the text.
+
+    A document of which nothing but white space is left is dropped: all of its text
+    stands in other documents.  What had no text before stays.
+    """
+    aside = {c: f"__own_{c}" for c in ("n_lines", "n_removed_lines") if c in docs.columns}
+    kept = dedup_lines(docs.withColumnsRenamed(aside))
+    emptied = (F.col("n_removed_lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    left = kept.filter(~F.coalesce(emptied, F.lit(False))).drop("n_lines", "n_removed_lines")
+    left = left.withColumnsRenamed({v: k for k, v in aside.items()})
+    return left.select(*[
         F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
         for c in docs.columns
     ])
