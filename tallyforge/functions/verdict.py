@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.json import is_object
 from tallyforge.functions.let import let
+from tallyforge.functions.python_text import python_text, raw_field
 from tallyforge.settings import RESERVED_VERDICT_KEYS
 
 # Texts of a failed text evaluation.
@@ -48,27 +49,21 @@ def truthy(value: Column) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def told(parsed: Column, name: str) -> Column:
-    """A field as text where it is truthy, else empty."""
-    value = F.try_variant_get(parsed, f"$.{name}", "variant")
-    return F.when(truthy(value), field(parsed, name)).otherwise(F.lit(""))
+def told(value: Column, fields: Column, name: str) -> Column:
+    """A field as Python prints it where it is truthy, else empty.
 
+    `fields` are the raw fields of the object `value` (`raw_fields` of its text).
+    """
+    held = F.try_variant_get(value, f"$.{name}", "variant")
+    return let(held, lambda v: F.when(truthy(v), python_text(v, raw_field(fields, name))).otherwise(F.lit("")))
 
-def shown(entry: Column, name: str, default: str = "N/A") -> Column:
-    """A mark as a report prints it; an absent one prints as `default`."""
-
-    def printed(mark: Column) -> Column:
-        raw, text = mark["raw"], mark["text"]
-        return (
-            F.when(raw.isNull(), F.lit(default))
-            .when(text.isNull(), F.lit("None"))
-            .when(text.isin("true", "false") & (F.schema_of_variant(raw) == "BOOLEAN"), F.initcap(text))
-            .otherwise(text)
-        )
 
+def shown(entry: Column, fields: Column, name: str, default: str = "N/A") -> Column:
+    """A mark as a report prints it; an absent one prints as `default`."""
     raw = F.try_variant_get(entry, f"$.{name}", "variant")
-    text = F.try_variant_get(entry, f"$.{name}", "string")
-    return let(F.struct(raw.alias("raw"), text.alias("text")), printed)
+    return let(raw, lambda v: F.when(v.isNull(), F.lit(default)).otherwise(
+        F.coalesce(python_text(v, raw_field(fields, name)), F.lit("None"))
+    ))
 
 
 def mark(entry: Column, name: str) -> Column:

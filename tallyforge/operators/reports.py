@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import verdict as V
 from tallyforge.functions.let import let
+from tallyforge.functions.python_text import python_text, raw_field, raw_fields
 from tallyforge.functions.scoring import EVALUATED
 from tallyforge.functions.text import category_label, model_label
 from tallyforge.operators.binding import bind
@@ -26,7 +27,7 @@ def _lines_if(condition: Column, *lines: Column) -> Column:
 def _outcome(models: Column) -> Column:
     """Lines on the judge's winner and on the runner-up."""
     winner = F.col(RESERVED_VERDICT_KEYS[0])
-    why, why_not = (V.told(F.col("parsed"), n) for n in RESERVED_VERDICT_KEYS[1:])
+    why, why_not = (V.told(F.col("parsed"), F.col("fields"), n) for n in RESERVED_VERDICT_KEYS[1:])
     loser = runner_up_in_order(models, winner)
     return F.concat(
         _lines_if((winner != "") & (why != ""), _line("WINNER (", winner, "):"), _line("   ", why)),
@@ -49,24 +50,27 @@ def text_report(
 
     def block(model: Column) -> Column:
         entry = F.col("entries")[model]
-        return F.concat(
+        return let(raw_fields(raw_field(F.col("fields"), model)), lambda raw: F.concat(
             F.array(
                 _line(model_label(model), " ANALYSIS:"),
-                _line("   Correctness: ", V.shown(entry, "correctness"), scale),
-                _line("   Relevance: ", V.shown(entry, "relevance"), scale),
+                _line("   Correctness: ", V.shown(entry, raw, "correctness"), scale),
+                _line("   Relevance: ", V.shown(entry, raw, "relevance"), scale),
             ),
             let(
-                V.told(entry, "reasoning"),
+                V.told(entry, raw, "reasoning"),
                 lambda told: _lines_if(told != "", _line("   Reasoning: ", told)),
             ),
-        )
+        ))
 
     lines = F.concat(
         F.array(F.lit("JUDGE'S DETAILED ANALYSIS")),
         F.flatten(F.transform(V.models_in_order(F.col("json_text")), block)),
         _outcome(F.col(models)),
     )
-    held = bind(verdicts.filter(F.col("status") == EVALUATED), entries=entries)
+    held = bind(
+        verdicts.filter(F.col("status") == EVALUATED), entries=entries,
+        fields=raw_fields(F.col("json_text")),
+    )
     return held.select("prompt_id", F.posexplode(lines).alias("line_no", "line"))
 
 
@@ -77,7 +81,6 @@ def code_report(verdicts: DataFrame) -> DataFrame:
     models nobody ran.
     """
     entries = V.model_entries(F.col("parsed"))
-    raw_entries = F.from_json("json_text", "map<string,string>")
 
     def metrics(model: Column) -> Column:
         return let(F.try_element_at(F.col("results"), model), metric_lines)
@@ -104,17 +107,19 @@ def code_report(verdicts: DataFrame) -> DataFrame:
     def categories(model: Column) -> Column:
         # Only an object casts to a map and has keys.
         texts = F.try_element_at(F.col("entries"), model).try_cast("map<string,variant>")
-        written = F.json_object_keys(F.try_element_at(F.col("raw_entries"), model))
+        raw_entry = raw_field(F.col("fields"), model)
+        written = F.json_object_keys(raw_entry)
         known = F.filter(F.array_distinct(written), lambda k: k.isin(*CODE_CATEGORIES))
 
         def lines(of: Column) -> Column:
             named = F.transform(known, lambda k: F.struct(
-                F.try_element_at(of, k).alias("value"), k.alias("name")
+                F.try_element_at(of, k).alias("value"), k.alias("name"),
+                raw_field(raw_fields(raw_entry), k).alias("raw"),
             ))
             told = F.filter(named, lambda l: V.truthy(l["value"]))
             return F.transform(
                 told, lambda l: _line(
-                    "   ", category_label(l["name"]), ": ", l["value"].try_cast("string")
+                    "   ", category_label(l["name"]), ": ", python_text(l["value"], l["raw"])
                 )
             )
 
@@ -135,7 +140,7 @@ def code_report(verdicts: DataFrame) -> DataFrame:
         F.coalesce(blocks, F.array().cast("array<string>")),
         _outcome(F.map_keys(F.col("results"))),
     )
-    opened = bind(verdicts, entries=entries, raw_entries=raw_entries)
+    opened = bind(verdicts, entries=entries, fields=raw_fields(F.col("json_text")))
     return opened.select("prompt_id", F.posexplode(lines).alias("line_no", "line"))
 
 

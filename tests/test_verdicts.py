@@ -4,9 +4,11 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions.json import allow_duplicate_keys, security_issue_count
+from tallyforge.functions.python_text import python_text, raw_field, raw_fields
 from tallyforge.operators import reports as R
 from tallyforge.operators import verdicts as VD
 
@@ -123,3 +125,20 @@ def test_security_issue_count(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "r STRING")
     got = {r.r: r.n for r in rows.select("r", security_issue_count(F.col("r")).alias("n")).collect()}
     assert got == cases
+
+
+@pytest.mark.parametrize("value", [
+    5, 5.0, 4.5, -0.0, 1e2, 1e7, 123456789.25, 1e15, 1e16, 1.5e300, 1e-4, 1.5e-5, 2.5e-300, 0.001, 12345678901234567890,
+    True, False, None, "", "it's", "[1,2]", "true", [1, 2.0, None, True], [], {}, {"z": 1.0, "a": [1, {"b": "x, y: z"}]},
+    ["it's", 'say "x"', "both ' and \"", "back\\slash", "line\nbreak\ttab", "é𝄞", "a:b,c"], "1e5", "null",
+])
+def test_values_print_as_python_prints_them(spark, value):
+    text = json.dumps({"v": 0, "w": 1})[:-1] + f', "v": {json.dumps(value, ensure_ascii=False)}}}'
+    parsed = F.try_parse_json("t")
+    allow_duplicate_keys(spark)
+    row = spark.createDataFrame([(text,)], "t string").select(
+        python_text(
+            F.try_variant_get(parsed, "$.v", "variant"), raw_field(raw_fields(F.col("t")), "v")
+        ).alias("p")
+    ).first()
+    assert row["p"] == str(json.loads(text)["v"])

@@ -609,6 +609,21 @@ select winner, count(*) as wins, min(prompt_id) as first_win from judged
 where winner is not null and winner <> '' group by winner""", "judged"),
 }
 
+ORACLES["verdict_report_as_written"] = """
+with reports as (select o_orderkey as prompt_id, [
+  'JUDGE''S DETAILED ANALYSIS',
+  'MODEL-A ANALYSIS:',
+  concat('   Correctness: ', o_custkey % 5 + 1, '.0/5'),
+  concat('   Relevance: ', o_orderkey % 5 + 1, '.5/5'),
+  concat('   Reasoning: [''r', o_custkey % 7, ''', "it''s", None, True, 1.5]'),
+  'MODEL-B ANALYSIS:',
+  concat('   Correctness: {''z'': ', o_orderkey % 3, '.0, ''a'': ''x:y,"q"''}/5'),
+  concat('   Relevance: ', case when o_orderkey % 20 >= 16 then concat('2e+', o_orderkey % 20)
+    else concat('2', repeat('0', (o_orderkey % 20)::int), '.0') end, '/5'),
+  'RUNNER-UP (model-b):',
+  '   {''why'': False}'] as lines from orders)
+select prompt_id, cast(generate_subscripts(lines, 1) - 1 as integer) as line_no, unnest(lines) as line from reports
+"""
 ORACLES["stream_reset_sessions"] = ORACLES["cost_reset_sessions"]
 ORACLES["stub_judge"] = f"""
 select prompt_id, concat('{{"winner": "', prompt_id, '"}}') as response,

@@ -357,6 +357,12 @@ def verdict_report(spark, sf):
     return R.text_report(_judged(spark, sf))
 
 
+@query
+def verdict_report_as_written(spark, sf):
+    """Reports of marks that are floats, lists and objects, as Python prints them."""
+    return R.text_report(VD.parse_text_verdicts(V.written_verdicts(spark, sf)))
+
+
 @query
 def code_verdict_report(spark, sf):
     results = D.code_documents(_code_prompts(spark, sf), V.scored_runs(spark, sf)).select(

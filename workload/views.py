@@ -146,6 +146,21 @@ def as_verdicts(orders: DataFrame) -> DataFrame:
     )
 
 
+def written_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts with marks as floats, lists and objects, and a key that is written twice."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text = _text(
+        '{"winner": "model-a", "model-a": {"correctness": ', cust % 5 + 1, '.0, "relevance": ', key % 5 + 1,
+        '.50, "reasoning": ["r', cust % 7, '", "it\'s", null, true, 1.50]}, "model-b": {"relevance": 1, '
+        '"relevance": 2e', key % 20, ', "correctness": {"z": ', key % 3, '.0, "a": "x:y,\\"q\\""},'
+        ' "reasoning": 0.0}, "loser_reasoning": {"why": false}, "winner_reasoning": []}',
+    )
+    return table(spark, sf_dir, "orders").select(
+        key.alias("prompt_id"), text.alias("judge_text"),
+        F.array(F.lit("model-a"), F.lit("model-b")).alias("models"),
+    )
+
+
 def code_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge answers to code prompts: one broken, one chatty, one with an extra key."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
