@@ -39,16 +39,20 @@ def test_awkward_rows(spark):
 
 
 def without_passages(rows):
-    """Texts without every later place of two lines, or of a line of over 50 words."""
+    """Texts without every later place of two lines (of 32 characters besides white space),
+    or of a line of over 50 words; texts of which nothing is left are dropped."""
     seen, out = set(), {}
     for i, text in sorted((i, t) for i, t in rows if t is not None):
         lines, gone = text.split("\n"), set()
         for k, line in enumerate(lines):
-            for piece in [lines[k : k + 2]] * (k + 1 < len(lines)) + [[line]] * (len(line.split()) > 50):
+            long_pair = k + 1 < len(lines) and len("".join("".join(lines[k : k + 2]).split())) >= 32
+            for piece in [lines[k : k + 2]] * long_pair + [[line]] * (len(line.split()) > 50):
                 if tuple(piece) in seen:
                     gone |= set(range(k, k + len(piece)))
                 seen.add(tuple(piece))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if left.strip() or not gone:
+            out[i] = left
     return out
 
 
