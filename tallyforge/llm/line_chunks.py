@@ -1,31 +1,34 @@
 """Removal of repeated multi-line chunks, with DataFrame functions only.
 
-A text's lines are hashed, and a rolling hash over the last `window` line hashes ends a
-chunk where it is divisible by `divisor`.  Boundaries depend on the lines around them
-alone, so lines put in before a passage do not shift the passage's chunks.  A chunk of
-two or more lines that stands elsewhere too is kept at its first place, by (id, line),
-and removed at the others, after its bytes have been compared with the first one's.
+A text's lines are hashed.  A line is a boundary at divisor d where the rolling hash over
+the last `window` line hashes is divisible by d, and so are a text's first and last line.
+A chunk runs from one boundary to the next, both included, at each of several divisors:
+at 1 every two neighbouring lines are one, at larger ones some d + 1 lines.  Boundaries
+depend on the lines around them alone, so lines put in before a passage do not shift its
+chunks.  A line of over `LONG_LINE` words is a chunk of its own.
+
+A chunk of lines needs `CHUNK_CHARS` characters besides white space: a pair of braces or
+blank lines is no passage, but a longer run of short lines is one.  A chunk that stands
+elsewhere too is kept at its first place, by (id, line), and removed at the others, after
+its bytes have been compared with the first one's.  Chunks overlap; the union of the
+repeated ones goes.  A removed line has an equal one at an earlier place, so none is lost.
 
 1. One scan makes a short row per chunk; digests are counted with map-side combining.
+   A chunk whose pairs are all long enough is covered by them wherever it repeats, so
+   divisors above 1 add rows only among short lines.
 2. Texts of the documents that hold a repeated digest are cut again, and the pieces of
    later places joined with the first one's, one row per digest on one side, so that a
    hot chunk is a skewed join which Spark splits.
 3. Documents are joined with their removed ranges.
 
-Chunks end every four lines or so, thus a short passage seldom holds a whole one.  With
-`passages`, the default, chunks are every two lines that follow each other and every
-line of over `LONG_LINE` words, and the union of the repeated ones is removed: all of
-any repeated passage of two lines or more.  Two lines with fewer than `PAIR_CHARS`
-characters besides white space (braces, blank lines) are no passage and stay where no
-other repeated pair covers them.  A removed line has an equal one at an earlier place, so
-none is lost.  Without, chunks are those of the rolling hash.
-
 Null texts stay null and have no lines; an empty text is one empty line.  Rows with
 equal id and text count as one document.  Columns of `docs` keep names and order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,13 @@ from tallyforge.llm.keys import KEY, row_key
 from tallyforge.operators.binding import bind
 from tallyforge.sources.scratch import materialize
 
-DIVISOR = 4
+DIVISORS = tuple(range(1, 9))
 WINDOW = 2
 LONG_LINE = 50
-PAIR_CHARS = 32
+CHUNK_CHARS = 32
 _BASE = 31
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def line_hash(line: Column) -> Column:
@@ -49,74 +54,81 @@ def _lines(text_col: str) -> Column:
     return F.split(F.col(text_col), "\n", -1)
 
 
-def _ends(hashes: Column, window: int, divisor: int) -> Column:
-    """Numbers of the lines that end a chunk."""
-    def is_end(i):
+def _boundaries(hashes: Column, window: int, divisor: int) -> Column:
+    """Numbers of the lines where chunks begin and end."""
+    last = F.size(hashes) - 1
+
+    def is_boundary(i):
         rolled = F.lit(0).cast("bigint")
         for back in range(window):
             rolled = rolled + F.get(hashes, i - back) * (_BASE ** back)
-        return (i == F.size(hashes) - 1) | ((i >= window - 1) & (rolled % divisor == 0))
+        return (i == 0) | (i == last) | ((i >= window - 1) & (rolled % divisor == 0))
 
-    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), is_end)
+    lines = F.sequence(F.lit(0), last)
+    return lines if divisor == 1 else F.filter(lines, is_boundary)
 
 
-def multi_line_chunks(
-    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, divisor: int = DIVISOR
+def line_chunks(
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
+    divisors: Sequence[int] = DIVISORS,
 ) -> DataFrame:
-    """A row per chunk of two or more lines: key, id, start, stop (line numbers), digest."""
+    """A row per chunk: key, id, start, stop (line numbers), digest."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(
         row_key(id_col, text_col).alias(KEY), F.col(id_col).alias("__id"),
         _lines(text_col).alias("__lines"),
-    ).filter(F.size("__lines") > 1)
-    rows = bind(rows, __bound_lines=F.col("__lines"),
-                __hashes=F.transform("__lines", line_hash))
-    rows = bind(rows, __ends=_ends(F.col("__hashes"), window, divisor))
-    ends, lines = F.col("__ends"), F.col("__bound_lines")
-
-    def chunk(stop, k):
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
-        return F.struct(start.alias("start"), stop.alias("stop"))
-
-    chunks = F.filter(F.transform(ends, chunk), lambda c: c["stop"] > c["start"])
-    rows = rows.select(KEY, "__id", lines.alias("__bound_lines"), F.explode(chunks).alias("__c"))
-    piece = F.array_join(
-        F.slice("__bound_lines", F.col("__c.start") + 1, F.col("__c.stop") - F.col("__c.start") + 1),
-        "\n",
     )
-    return rows.select(
-        KEY, "__id", F.col("__c.start").alias("start"), F.col("__c.stop").alias("stop"),
-        F.xxhash64(piece).alias("digest"),
+    rows = bind(rows, __bound_lines=F.col("__lines"))
+    lines = F.col("__bound_lines")
+    rows = bind(
+        rows, __hashes=F.transform(lines, line_hash),
+        __chars=F.transform(lines, lambda line: F.length(F.regexp_replace(line, _SPACE, ""))),
     )
+    rows = bind(rows, **{f"__at_{d}": _boundaries(F.col("__hashes"), window, d) for d in divisors})
+    chars = F.col("__chars")
 
+    def pair_chars(i):
+        return F.get(chars, i) + F.get(chars, i + 1)
 
-def passage_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As `multi_line_chunks`, for each pair of neighbouring lines and each long line."""
-    rows = docs.filter(F.col(text_col).isNotNull()).select(
-        row_key(id_col, text_col).alias(KEY), F.col(id_col).alias("__id"),
-        _lines(text_col).alias("__lines"),
-    )
-    rows = bind(rows, __bound_lines=F.col("__lines"))
-    lines = F.col("__bound_lines")
+    def is_passage(c):
+        inside = F.slice(chars, c["start"] + 1, c["stop"] - c["start"] + 1)
+        return F.aggregate(inside, F.lit(0), lambda total, n: total + n) >= CHUNK_CHARS
+
+    def has_short_pair(c):
+        return F.exists(
+            F.sequence(c["start"], c["stop"] - 1), lambda i: pair_chars(i) < CHUNK_CHARS
+        )
+
+    def of_divisor(divisor):
+        at = F.col(f"__at_{divisor}")
 
-    def pair(line, i):
-        piece = F.concat_ws("\n", line, F.get(lines, i + 1))
-        return F.struct(i.alias("start"), (i + 1).alias("stop"), F.xxhash64(piece).alias("digest"))
+        def chunk(start, k):
+            return F.struct(start.alias("start"), F.get(at, k + 1).alias("stop"))
+
+        def is_wanted(c):
+            if divisor == 1:
+                return c["stop"].isNotNull() & (pair_chars(c["start"]) >= CHUNK_CHARS)
+            wanted = c["stop"].isNotNull()
+            if 1 in divisors:
+                wanted = wanted & (c["stop"] > c["start"] + 1) & has_short_pair(c)
+            return wanted & is_passage(c)
+
+        return F.filter(F.transform(at, chunk), is_wanted)
 
     def single(line, i):
-        return F.struct(i.alias("start"), i.alias("stop"), F.xxhash64(line).alias("digest"))
+        return F.struct(i.alias("start"), i.alias("stop"))
 
     def is_long(c):
-        words = F.split(F.trim(F.get(lines, c["start"])), r"\s+")
-        return F.size(words) > LONG_LINE
+        line = F.get(lines, c["start"])
+        return (F.length(line) > 2 * LONG_LINE) & (F.regexp_count(line, F.lit(_WORD)) > LONG_LINE)
 
-    def is_passage(c):
-        both = F.concat(F.get(lines, c["start"]), F.get(lines, c["stop"]))
-        return (c["stop"] < F.size(lines)) & (F.length(F.regexp_replace(both, r"\s+", "")) >= PAIR_CHARS)
+    def with_digest(c):
+        piece = F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"] + 1), "\n")
+        return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.xxhash64(piece).alias("digest"))
 
-    pairs = F.filter(F.transform(lines, pair), is_passage)
     longs = F.filter(F.transform(lines, single), is_long)
+    chunks = F.array_distinct(F.concat(*[of_divisor(d) for d in divisors], longs))
     # Digests are made before the rows, so that no row carries all lines.
-    return rows.select(KEY, "__id", F.explode(F.concat(pairs, longs)).alias("__c")).select(
+    return rows.select(KEY, "__id", F.explode(F.transform(chunks, with_digest)).alias("__c")).select(
         KEY, "__id", "__c.*"
     )
 
@@ -132,15 +144,12 @@ def _united(removed: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(
-    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, divisor: int = DIVISOR,
-    passages: bool = True,
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
+    divisors: Sequence[int] = DIVISORS,
 ) -> DataFrame:
-    """Key and `ranges` (start and stop of each chunk to remove, ascending)."""
+    """Key and `ranges` (start and stop of each run of lines to remove, ascending)."""
     # Repeated rows give each chunk once.
-    chunks = materialize(
-        passage_chunks(docs, id_col, text_col) if passages
-        else multi_line_chunks(docs, id_col, text_col, window, divisor), "line-chunks"
-    )
+    chunks = materialize(line_chunks(docs, id_col, text_col, window, divisors), "line-chunks")
     first = F.min(F.struct("__id", KEY, "start")).alias("first")
     last = F.max(F.struct("__id", KEY, "start")).alias("last")
     repeated = chunks.groupBy("digest").agg(first, last).filter("first != last")
@@ -149,7 +158,7 @@ def repeated_ranges(
         ((F.col(KEY) == F.col(f"first.{KEY}")) & (F.col("start") == F.col("first.start")))
         .alias("is_first"),
     )
-    # A document's own chunks: at most two for each of its lines.
+    # A document's own chunks: a few at most for each of its lines.
     wanted = candidates.groupBy(KEY).agg(
         F.collect_set(F.struct("start", "stop", "digest", "is_first")).alias("__wanted")
     )
@@ -174,21 +183,19 @@ def repeated_ranges(
     # Repeated rows repeat the first piece; one is enough.
     firsts = pieces.filter("is_first").groupBy("digest").agg(F.any_value("piece").alias("kept"))
     removed = pieces.filter(~F.col("is_first")).join(firsts, "digest").filter("piece = kept")
-    if passages:
-        removed = _united(removed)
-    return removed.groupBy(KEY).agg(
+    return _united(removed).groupBy(KEY).agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")
     )
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    window: int = WINDOW, divisor: int = DIVISOR, passages: bool = True,
+    window: int = WINDOW, divisors: Sequence[int] = DIVISORS,
 ) -> DataFrame:
     """`docs` with repeated chunks taken out of the text, plus `n_lines` (before) and
     `n_removed_lines`; own columns of these two names are replaced."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    ranges = repeated_ranges(docs, id_col, text_col, window, divisor, passages)
+    ranges = repeated_ranges(docs, id_col, text_col, window, divisors)
     joined = docs.select(*own, row_key(id_col, text_col).alias(KEY)).join(ranges, KEY, "left")
     bound = bind(joined, __bound_lines=_lines(text_col))
     lines, gone = F.col("__bound_lines"), F.col("ranges")

@@ -2,40 +2,39 @@
 
 ORACLES = {}
 
-_CHUNKS = """
-lines as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line,
+ORACLES["op3_line_chunks"] = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
   from documents where text is not null),
-hashed as (
-  select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from lines),
 rolled as (
-  select *, h + 31 * lag(h) over (partition by doc_id order by i) as r from hashed),
-ended as (
-  select *, coalesce(r % 4 = 0, false) as is_end from rolled),
-numbered as (
-  select *, coalesce(sum(is_end::int) over (
-    partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
-  from ended),
+  select *, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) as chars,
+    ('0x' || substr(md5(line), 1, 8))::bigint
+      + 31 * lag(('0x' || substr(md5(line), 1, 8))::bigint) over (partition by doc_id order by i) as r,
+    max(i) over (partition by doc_id) as last_i
+  from lines),
+boundaries as (
+  select doc_id, d, i as start, lead(i) over (partition by doc_id, d order by i) as stop
+  from rolled, range(1, 9) divisors(d) where i = 0 or i = last_i or r % d = 0),
 chunks as (
-  select doc_id, chunk, min(i) as start, count(*) as n, string_agg(line, chr(10) order by i) as piece
-  from numbered group by doc_id, chunk),
+  select b.doc_id, b.start, b.stop, string_agg(l.line, chr(10) order by l.i) as piece
+  from (select distinct doc_id, start, stop from boundaries where stop is not null) b
+  join rolled l on l.doc_id = b.doc_id and l.i between b.start and b.stop
+  group by b.doc_id, b.start, b.stop having sum(l.chars) >= 32
+  union all
+  select doc_id, i, i, line from rolled
+  where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
 ranked as (
   select *, row_number() over (partition by piece order by doc_id, start) as place from chunks),
-gone as (select doc_id, chunk from ranked where n >= 2 and place > 1)
-"""
-
-ORACLES["op3_line_chunks"] = f"""
-with {_CHUNKS}
+gone as (select distinct doc_id, unnest(range(start, stop + 1)) as i from ranked where place > 1)
 select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed_lines, 0) as n_removed_lines,
        sha256(coalesce(k.kept, '')) as kept_sha256
 from documents d left join (
-  select l.doc_id, count(*) as n_lines, count(g.chunk) as n_removed_lines,
-         string_agg(l.line, chr(10) order by l.i) filter (g.chunk is null) as kept
-  from numbered l left join gone g using (doc_id, chunk) group by l.doc_id) k using (doc_id)
+  select l.doc_id, count(*) as n_lines, count(g.i) as n_removed_lines,
+         string_agg(l.line, chr(10) order by l.i) filter (g.i is null) as kept
+  from lines l left join gone g using (doc_id, i) group by l.doc_id) k using (doc_id)
 """
 
-
 ORACLES["op2_jaccard"] = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(

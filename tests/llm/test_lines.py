@@ -1,10 +1,12 @@
+import hashlib
+
 import pytest
 
 import __spark_entry__ as entry
 from tallyforge.llm.line_chunks import dedup_lines
 from tallyforge.llm.oracles import ORACLES
 from tests.compare import connect, difference
-from tests.llm.helpers import SF, frame
+from tests.llm.helpers import SF, awkward_rows, frame
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -38,24 +40,65 @@ def test_awkward_rows(spark):
     assert by[5][0]["text"] == by[6][0]["text"] == "one line"
 
 
-def without_passages(rows):
-    """Texts without every later place of two lines (of 32 characters besides white space),
-    or of a line of over 50 words; texts of which nothing is left are dropped."""
-    seen, out = set(), {}
-    for i, text in sorted((i, t) for i, t in rows if t is not None):
-        lines, gone = text.split("\n"), set()
-        for k, line in enumerate(lines):
-            long_pair = k + 1 < len(lines) and len("".join("".join(lines[k : k + 2]).split())) >= 32
-            for piece in [lines[k : k + 2]] * long_pair + [[line]] * (len(line.split()) > 50):
-                if tuple(piece) in seen:
-                    gone |= set(range(k, k + len(piece)))
-                seen.add(tuple(piece))
+def chunks_of(lines):
+    """(start, stop) of a text's chunks, straight from the rule."""
+    def rolled(k):
+        now, before = (int(hashlib.md5(lines[j].encode()).hexdigest()[:8], 16) for j in (k, k - 1))
+        return now + 31 * before
+
+    found = {(k, k) for k, line in enumerate(lines) if len(line.split()) > 50}
+    for d in range(1, 9):
+        ends = [k for k in range(len(lines)) if k in (0, len(lines) - 1) or rolled(k) % d == 0]
+        found |= {(a, b) for a, b in zip(ends, ends[1:])
+                  if len("".join("".join(lines[a : b + 1]).split())) >= 32}
+    return sorted(found)
+
+
+def without_passages(rows, emptied=False):
+    """Texts without every later place of a chunk; texts of which nothing is left are
+    dropped, unless `emptied` says that they stay."""
+    seen, out = {}, {}
+    texts = {i: t.split("\n") for i, t in rows if t is not None}
+    for i in sorted(texts):
+        for a, b in chunks_of(texts[i]):
+            seen.setdefault(tuple(texts[i][a : b + 1]), (i, a))
+    for i, lines in texts.items():
+        gone = {k for a, b in chunks_of(lines) if seen[tuple(lines[a : b + 1])] != (i, a)
+                for k in range(a, b + 1)}
         left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        if left.strip() or not gone:
+        if left.strip() or not gone or emptied:
             out[i] = left
     return out
 
 
+@pytest.mark.parametrize("end", ["", "end of this one, which is its own"])
+def test_passages_of_short_lines(spark, end):
+    """Chunks of larger divisors hold what pairs of short lines cannot."""
+    rows = []
+    for p in range(20):
+        verse = [f"verse {p} {k}" for k in range(16)]
+        for d in range(3):
+            own = [f"{p} {d} {k} is a line of its own, long enough" for k in range(1 + d)]
+            rows.append((3 * p + d, "\n".join(own + verse + [end + f" {p} {d}"] * bool(end)), ""))
+    found = {r["doc_id"]: r for r in dedup_lines(frame(spark, rows)).collect()}
+    assert {i: r["text"] for i, r in found.items()} == without_passages([r[:2] for r in rows])
+    later = sum(r["n_removed_lines"] for i, r in found.items() if i % 3)
+    assert later >= 0.6 * 40 * 16 and not any(found[3 * p]["n_removed_lines"] for p in range(20))
+
+
+def test_trivial_lines_stay(spark):
+    rows = [(1, "def f():\n}\n}\n\n\nx = 1", ""), (2, "def g():\n}\n}\n\n\ny = 1", "")]
+    assert not any(r["n_removed_lines"] for r in dedup_lines(frame(spark, rows)).collect())
+
+
+def test_awkward_texts_equal_the_rule(spark):
+    rows = [(r[0], r[1], "") for r in awkward_rows() if r[0] is not None]
+    rows = list({i: (i, t, x) for i, t, x in rows}.values())
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+    want = without_passages([r[:2] for r in rows], emptied=True)
+    assert {i: t for i, t in found.items() if t is not None} == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
 def test_short_passages_inside_documents(spark, n):
     """A passage of `n` lines and over 50 words goes from all documents but the first."""
