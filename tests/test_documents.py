@@ -165,7 +165,7 @@ def test_only_truthy_categories_and_reasonings_are_printed(spark):
     results = CodeEvaluator().evaluate(prompts(spark), candidates(spark)).select("prompt_id", "results")
     lines = [r.line for r in R.code_report(VD.parse_code_verdicts(verdicts).join(results, "prompt_id"))
              .orderBy("line_no").collect()]
-    assert lines[8:] == ['   Strengths: ["a","b"]', "   Style Assessment: 4.5", "RUNNER-UP (a):", "   7"]
+    assert lines[8:] == ["   Strengths: ['a', 'b']", "   Style Assessment: 4.5", "RUNNER-UP (a):", "   7"]
 
 
 def test_scratch_follows_the_session_setting(spark):
