@@ -71,6 +71,10 @@ def is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
+def is_empty_object(value: Column) -> Column:
+    return F.to_json(value) == "{}"
+
+
 def security_issue_count(report: Column) -> Column:
     """Length of ``results`` in a scanner report; 0 for no or broken JSON."""
     parsed = strict_json(finite_numbers(report))

@@ -55,14 +55,16 @@ def response_maps(responses: DataFrame) -> DataFrame:
 
 
 def text_documents(
-    prompts: DataFrame, responses: DataFrame, verdicts: DataFrame
+    prompts: DataFrame, responses: DataFrame, verdicts: DataFrame, written: bool = False
 ) -> DataFrame:
     """Text evaluations, or error and details where the verdict failed or never came.
 
     (prompt_id, model) is unique in `responses`, prompt_id in `verdicts`.  Further columns of `prompts` (a run's stamp, a batch) stay.
+    With `written`, `scores_text` holds the verdict's JSON as the judge wrote it.
     """
+    kept = ["json_text"] if written else []
     joined = prompts.join(response_maps(responses), "prompt_id", "left").join(
-        verdicts.select("prompt_id", "status", "parsed", "winner", "error", "details"),
+        verdicts.select("prompt_id", "status", "parsed", "winner", "error", "details", *kept),
         "prompt_id", "left",
     )
     held, missing = F.col("status") == EVALUATED, F.col("status").isNull()
@@ -74,6 +76,7 @@ def text_documents(
         "winner",
         F.when(missing, F.lit(FAILED_TEXT)).otherwise(F.col("error")).alias("error"),
         F.when(missing, F.lit(NO_VERDICT)).otherwise(F.col("details")).alias("details"),
+        *[F.when(held, F.col(c)).alias("scores_text") for c in kept],
     )
 
 

@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.json import is_empty_object
 from tallyforge.operators.candidates import score_candidates
 from tallyforge.operators.cost import cost_breakdown, cost_rollup, price_calls, running_rollup
 from tallyforge.operators.documents import code_documents, text_documents, with_cost
@@ -36,14 +37,19 @@ class CodeEvaluator:
     weights: ScoreWeights = field(default_factory=ScoreWeights)
     verdicts: DataFrame | None = None
     order: Sequence[str] = ()
+    written: bool = False
 
     def evaluate(self, prompts: DataFrame, responses: DataFrame) -> DataFrame:
         last = _last(responses, ["prompt_id", "model"], self.order)
         documents = code_documents(prompts, score_candidates(last, self.weights))
         if self.verdicts is None:
             return documents
-        analysis = parse_code_verdicts(_last(self.verdicts, ["prompt_id"], self.order)).select(
-            "prompt_id", F.col("parsed").alias("judge_analysis")
+        # Broken JSON counts as an empty object, which then has no text of its own.
+        parsed = parse_code_verdicts(_last(self.verdicts, ["prompt_id"], self.order))
+        own_text = F.when(~is_empty_object(F.col("parsed")), F.col("json_text"))
+        analysis = parsed.select(
+            "prompt_id", F.col("parsed").alias("judge_analysis"),
+            *([own_text.alias("judge_analysis_text")] if self.written else []),
         )
         return documents.join(analysis, "prompt_id", "left")
 
@@ -52,16 +58,18 @@ class CodeEvaluator:
 class TextEvaluator:
     """Takes the judge's word: `verdicts` (prompt_id, judge_text) name the winners.
 
-    Repeated answers and verdicts collapse to the last, as in `CodeEvaluator`.
+    Repeated answers and verdicts collapse to the last, as in `CodeEvaluator`.  With
+    `written`, documents carry the verdict's own text too (`scores_text`).
     """
 
     verdicts: DataFrame
     order: Sequence[str] = ()
+    written: bool = False
 
     def evaluate(self, prompts: DataFrame, responses: DataFrame) -> DataFrame:
         return text_documents(
             prompts, _last(responses, ["prompt_id", "model"], self.order),
-            parse_text_verdicts(_last(self.verdicts, ["prompt_id"], self.order)),
+            parse_text_verdicts(_last(self.verdicts, ["prompt_id"], self.order)), self.written,
         )
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.functions.json_text import indented_json
 
 _BROKEN = "__broken"
 #: Fields that a text evaluation never has.
 _OTHER_KINDS = ("error", "details", "results", "judge_analysis")
+#: Keys of a document in written order, over all kinds.
+_KEYS = (
+    "prompt", "responses", "results", "scores", "winner", "judge_analysis", "cost_breakdown",
+    "error", "details", "prompt_id",
+)
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -74,8 +80,40 @@ def document_line(columns: Sequence[str]) -> Column:
 
 
 def as_json(document: Column, pretty: bool = True) -> Column:
-    """A document as JSON text with two-space indent; absent fields stay absent.
+    """Any struct as JSON text with two-space indent; absent fields stay absent.
 
-    Values held as VARIANT are written on one line with sorted keys.
+    Values held as VARIANT are written on one line with sorted keys; for whole
+    evaluation documents see `document_text`.
     """
     return F.to_json(document, {"pretty": "true"} if pretty else {})
+
+
+def document_text(columns: Sequence[str]) -> Column:
+    """A document of any kind as indented JSON text, its keys in written order.
+
+    `columns` are those of the documents.  `scores_text` and `judge_analysis_text`, where
+    present, hold those two values as the judge wrote them and keep their order of keys;
+    a VARIANT alone is written with sorted keys.  Absent fields stay absent; the winner
+    of a text evaluation is written even when null.
+    """
+    has_responses = F.col("responses").isNotNull() if "responses" in columns else F.lit(False)
+
+    def value(key: str) -> Column:
+        held = F.col(key)
+        if key in ("scores", "judge_analysis"):
+            text = F.to_json(held)
+            written = f"{key}_text"
+            return F.coalesce(F.when(held.isNotNull(), F.col(written)), text) if written in columns else text
+        if key in ("responses", "results", "cost_breakdown"):
+            return F.to_json(held)
+        # A string between the brackets of a list.
+        listed = F.to_json(F.array(held.cast("string")))
+        token = F.when(held.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+        if key == "winner":
+            return F.when(has_responses, F.coalesce(token, F.lit("null"))).otherwise(token)
+        return token
+
+    fields = [
+        F.concat(F.lit(f'"{key}":'), value(key)) for key in _KEYS if key in columns
+    ]
+    return indented_json(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))

@@ -629,3 +629,24 @@ ORACLES["stub_judge"] = f"""
 select prompt_id, concat('{{"winner": "', prompt_id, '"}}') as response,
   length(judge_prompt) as input_tokens, length(judge_prompt) % 7 as output_tokens
 from ({ORACLES["judge_prompts_text"]}) t"""
+
+ORACLES["document_texts"] = sql(r"""
+select prompt_id, case when ok then concat(
+  '{', chr(10), '  "prompt": "', prompt, '",', chr(10), '  "responses": {', chr(10),
+  '    "model-a": "', response_a, '",', chr(10), '    "model-b": "', response_b, '"', chr(10), '  },', chr(10),
+  '  "scores": ', inner_objects, ',', chr(10),
+  '  "winner": ', case when winner is null then 'null' else concat('"', winner, '"') end, ',', chr(10),
+  '  "prompt_id": "', prompt_id, '"', chr(10), '}')
+  else concat('{', chr(10), '  "error": "', error, '",', chr(10), '  "details": "', details, '",', chr(10),
+  '  "prompt_id": "', prompt_id, '"', chr(10), '}') end as doc
+from (select *, case when js = '' then 'No valid JSON in judge output'
+        when not json_valid(js) then 'Invalid JSON in judge output'
+        else 'A model entry is not an object' end as details,
+    regexp_replace(regexp_replace(
+      replace(regexp_replace(replace(regexp_replace(js,
+        ', "(relevance|reasoning)"', concat(',', chr(10), '      "\1"'), 'g'),
+        ': {"', concat(': {', chr(10), '      "')),
+        ', "(winner_reasoning|loser_reasoning|notes)"', concat(',', chr(10), '    "\1"'), 'g'),
+        '}, "', concat(chr(10), '    },', chr(10), '    "')),
+      '^\{', concat('{', chr(10), '    ')), '\}$', concat(chr(10), '  }')) as inner_objects
+  from judged join text_answers using (prompt_id)) t""", "judged", "text_answers")

@@ -681,6 +681,16 @@ def document_json(spark, sf):
     return parsed
 
 
+@query
+def document_texts(spark, sf):
+    """Text evaluations, failed ones too, as the indented JSON that a saved file holds."""
+    answers = V.text_answers(spark, sf)
+    documents = TextEvaluator(V.verdicts(spark, sf), written=True).evaluate(
+        answers.select("prompt_id", "prompt"), responses_from_map(answers)
+    )
+    return documents.select("prompt_id", SD.document_text(documents.columns).alias("doc"))
+
+
 @query
 def priced_docs(spark, sf):
     """Documents with the cost of their own calls."""
