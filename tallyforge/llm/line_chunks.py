@@ -64,8 +64,7 @@ def _boundaries(hashes: Column, window: int, divisor: int) -> Column:
             rolled = rolled + F.get(hashes, i - back) * (_BASE ** back)
         return (i == 0) | (i == last) | ((i >= window - 1) & (rolled % divisor == 0))
 
-    lines = F.sequence(F.lit(0), last)
-    return lines if divisor == 1 else F.filter(lines, is_boundary)
+    return F.filter(F.sequence(F.lit(0), last), is_boundary)
 
 
 def line_chunks(
@@ -79,16 +78,28 @@ def line_chunks(
     )
     rows = bind(rows, __bound_lines=F.col("__lines"))
     lines = F.col("__bound_lines")
-    rows = bind(
-        rows, __hashes=F.transform(lines, line_hash),
-        __chars=F.transform(lines, lambda line: F.length(F.regexp_replace(line, _SPACE, ""))),
-    )
-    rows = bind(rows, **{f"__at_{d}": _boundaries(F.col("__hashes"), window, d) for d in divisors})
+    rows = bind(rows, __chars=F.transform(
+        lines, lambda line: F.length(F.regexp_replace(line, _SPACE, ""))
+    ))
     chars = F.col("__chars")
+    more = [d for d in divisors if d != 1]
 
     def pair_chars(i):
         return F.get(chars, i) + F.get(chars, i + 1)
 
+    hashes = F.transform(lines, line_hash)
+    if 1 in divisors:
+        # Texts without a short pair need no other divisor: null here, no chunks there.
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0)))
+        short = F.exists(numbers, lambda i: pair_chars(i) < CHUNK_CHARS)
+        hashes = F.when((F.size(lines) > 2) & short, hashes)
+    rows = bind(rows, __hashes=hashes)
+    rows = bind(rows, **{
+        f"__at_{d}": F.when(
+            F.col("__hashes").isNotNull(), _boundaries(F.col("__hashes"), window, d)
+        ) for d in more
+    }, __at_1=F.sequence(F.lit(0), F.size(lines) - 1))
+
     def is_passage(c):
         inside = F.slice(chars, c["start"] + 1, c["stop"] - c["start"] + 1)
         return F.aggregate(inside, F.lit(0), lambda total, n: total + n) >= CHUNK_CHARS
@@ -112,7 +123,8 @@ def line_chunks(
                 wanted = wanted & (c["stop"] > c["start"] + 1) & has_short_pair(c)
             return wanted & is_passage(c)
 
-        return F.filter(F.transform(at, chunk), is_wanted)
+        none = F.array().cast("array<struct<start:int,stop:int>>")
+        return F.coalesce(F.filter(F.transform(at, chunk), is_wanted), none)
 
     def single(line, i):
         return F.struct(i.alias("start"), i.alias("stop"))
