@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
@@ -13,6 +14,10 @@ from tallyforge.operators.dimension import left_join_dimension
 from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.running import running_sums
 from tallyforge.settings import PriceBook
+from tallyforge.sources.scratch import materialize
+
+_RANGE = "__range"
+_SUMS = {"calls": "bigint", "cost": schemas.TOTAL_COST}
 
 # The two books of calls.
 MODEL_CALLS, JUDGE_CALLS = "model_calls", "judge_calls"
@@ -149,7 +154,8 @@ def cost_snapshots(running: DataFrame, prompt: Sequence[str]) -> DataFrame:
 
 
 def running_rollup(
-    priced: DataFrame, prompt: str, session: Sequence[str] = ("session_id",)
+    priced: DataFrame, prompt: str, session: Sequence[str] = ("session_id",),
+    ranges: int | None = None,
 ) -> DataFrame:
     """Calls and cost so far per (book, model), for every prompt of a session.
 
@@ -157,24 +163,93 @@ def running_rollup(
     `prompt` is an integer column in the order of the session.  A prompt without a call
     to a model repeats what the model had before, so the result is as long as the
     documents that show it.
+
+    Prompts are cut into ranges of (session, prompt), as many as there are shuffle
+    partitions, and meet the session's kinds range by range: a hot session spreads over
+    its ranges.  Only a session that goes on in another range has something to carry,
+    and of those there are fewer than ranges.  Rows without a prompt number are left out.
     """
-    kinds = [*session, "book", "model"]
-    own = priced.groupBy(*session, prompt, "book", "model").agg(
+    spark = priced.sparkSession
+    kind = [*session, "book", "model"]
+    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = priced.filter(F.col(prompt).isNotNull()).groupBy(*session, prompt, "book", "model").agg(
         F.count("*").alias("own_calls"), _cost_sum().alias("own_cost"),
         F.min("call_seq").alias("own_seq"),
     )
-    first = own.groupBy(*kinds).agg(
-        F.min(prompt).alias("first_prompt"), F.min("own_seq").alias("first_seq")
+    ranged = materialize(
+        own.repartitionByRange(count, *session, prompt).withColumn(_RANGE, F.spark_partition_id()),
+        "running-rollup",
+    )
+    sums = ranged.groupBy(_RANGE, *kind).agg(
+        F.sum("own_calls").alias("calls"), _cost_sum("own_cost").alias("cost"),
+        F.min(prompt).alias("first_prompt"), F.min("own_seq").alias("first_seq"),
+    )
+    carried = _carried_kinds(sums, session)
+    # What a range has to show of a kind: its sums before the range and its first prompt.
+    before = [F.coalesce(f"carried.{c}", F.lit(0)).cast(t).alias(f"{c}_before") for c, t in _SUMS.items()]
+    seen = sums.alias("own").join(
+        carried.alias("carried"), _same("own", "carried", [_RANGE, *kind]), "full"
+    ).select(
+        *[F.coalesce(f"own.{k}", f"carried.{k}").alias(k) for k in [_RANGE, *kind]], *before,
+        F.coalesce("carried.first_prompt", "own.first_prompt").alias("first_prompt"),
+        F.coalesce("carried.first_seq", "own.first_seq").alias("first_seq"),
     )
-    shown = own.select(*session, prompt).distinct().join(first, list(session)).filter(
-        F.col(prompt) >= F.col("first_prompt")
+    shown = ranged.select(_RANGE, *session, prompt).distinct().alias("shown").join(
+        seen.alias("seen"), _same("shown", "seen", [_RANGE, *session])
+    ).filter(F.col(prompt) >= F.col("first_prompt")).select(
+        "shown.*", *[f"seen.{c}" for c in ("book", "model", "calls_before", "cost_before", "first_seq")]
+    )
+    dense = shown.alias("shown").join(
+        ranged.alias("own"), _same("shown", "own", [_RANGE, *session, prompt, "book", "model"]), "left"
+    ).select("shown.*", "own_calls", "own_cost")
+    so_far = (
+        Window.partitionBy(_RANGE, *kind).orderBy(prompt)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+    def through(name: str, kept: str) -> Column:
+        inside = F.coalesce(F.sum(f"own_{name}").over(so_far), F.lit(0)).cast(kept)
+        return (F.col(f"{name}_before") + inside).cast(kept).alias(name)
+
+    return dense.select(
+        *session, prompt, "book", "model", *[through(c, t) for c, t in _SUMS.items()], "first_seq"
+    )
+
+
+def _carried_kinds(sums: DataFrame, session: Sequence[str]) -> DataFrame:
+    """For sessions in several ranges: every kind in every range from its first one on,
+    with its sums in the ranges before; also the session's first prompt and call of it."""
+    kind = [*session, "book", "model"]
+    # A session in several ranges is the first or the last of each: two rows per range.
+    edges = sums.groupBy(_RANGE).agg(
+        F.min(F.struct(*session)).alias("first"), F.max(F.struct(*session)).alias("end")
+    ).select(_RANGE, F.explode(F.array("first", "end")).alias("__session")).select(
+        _RANGE, *[F.col(f"__session.{k}").alias(k) for k in session]
+    ).distinct()
+    several = edges.withColumn(
+        "__ranges", F.count("*").over(Window.partitionBy(*session))
+    ).filter("__ranges > 1").drop("__ranges")
+    kinds = sums.groupBy(*kind).agg(
+        F.min(_RANGE).alias("__from"), F.min("first_prompt").alias("first_prompt"),
+        F.min("first_seq").alias("first_seq"),
+    )
+    spread = kinds.alias("kinds").join(
+        F.broadcast(several.alias("several")), _same("kinds", "several", session)
+    ).filter(F.col(_RANGE) >= F.col("__from")).select(_RANGE, "kinds.*")
+    before = Window.partitionBy(*kind).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return spread.alias("spread").join(
+        sums.alias("sums"), _same("spread", "sums", [_RANGE, *kind]), "left"
+    ).select("spread.*", "calls", "cost").select(
+        _RANGE, *kind, "first_prompt", "first_seq",
+        F.sum("calls").over(before).alias("calls"), F.sum("cost").over(before).alias("cost"),
+    )
+
+
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal in all keys; a missing one equals a missing one."""
+    return reduce(
+        lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
     )
-    dense = shown.join(own.drop("own_seq"), [*session, prompt, "book", "model"], "left")
-    summed = running_sums(dense, kinds, prompt, {
-        "calls": (F.coalesce("own_calls", F.lit(0)), "BIGINT"),
-        "cost": (F.coalesce("own_cost", F.lit(0)), schemas.TOTAL_COST),
-    })
-    return summed.select(*session, prompt, "book", "model", "calls", "cost", "first_seq")
 
 
 def cost_over_documents(snapshots: DataFrame, by: Sequence[str] = ()) -> DataFrame:

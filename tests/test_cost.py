@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 from decimal import Decimal
 
@@ -123,6 +124,49 @@ def test_breakdown_so_far_repeats_models_of_earlier_prompts(spark):
                      (1, 2): ({"a": 2, "c": 1}, {"b": 1}, 4 * each), (2, 0): ({"a": 1}, {}, each)}
 
 
+def test_breakdown_so_far_of_a_hot_session_in_many_ranges(spark):
+    rows, calls = log(spark)
+    calls = calls.withColumn("prompt_id", F.floor(F.col("call_seq") / 40))
+    priced = C.price_calls(calls)
+    rows = [(r.session_id, r.prompt_id, r.book, r.model, r.call_seq, r.cost) for r in priced.collect()]
+    prompts, first = defaultdict(set), {}
+    for session, prompt, book, model, seq, _ in rows:
+        prompts[session].add(prompt)
+        first[session, book, model] = min(seq, first.get((session, book, model), seq))
+    expected = {}
+    for session, prompt, book, model, seq, cost in rows:
+        for later in prompts[session]:
+            if later >= prompt:
+                calls_so_far, so_far = expected.get((session, later, book, model), (0, Decimal(0)))
+                expected[session, later, book, model] = (calls_so_far + 1, so_far + cost)
+    for ranges in (1, 7, 40):
+        rollup = C.running_rollup(priced, "prompt_id", ranges=ranges)
+        got = rollup.collect()
+        assert {(r.session_id, r.prompt_id, r.book, r.model): (r.calls, r.cost) for r in got} == expected
+        assert len(got) == len(expected)
+        assert all(r.first_seq == first[r.session_id, r.book, r.model] for r in got)
+    assert rollup.schema["cost"].dataType.simpleString() == schemas.TOTAL_COST.lower()
+
+
+def test_breakdown_so_far_never_shuffles_rows_by_session_alone(spark):
+    _, calls = log(spark)
+    priced = C.price_calls(calls.withColumn("prompt_id", F.floor(F.col("call_seq") / 40)))
+    plan = C.running_rollup(priced, "prompt_id", ranges=7)._jdf.queryExecution().toString()
+    alone = [line for line in plan.splitlines() if re.search(r"hashpartitioning\(session_id#\d+L?, \d+\)", line)]
+    # The only such exchange counts the ranges of the sessions at their edges, two rows a range.
+    assert len(alone) == 1
+
+
+def test_breakdown_so_far_of_awkward_rows(spark):
+    rows = [(None, 1, None, "a", "model", 1000, 0), (None, 41, None, "a", "model", 1000, 0),
+            (1, 2, None, None, "model", 1000, 0), (1, 42, None, "a", "model", 1000, 0), (1, None, None, "a", "model", 1000, 0)]
+    calls = spark.createDataFrame(rows, schemas.CALL_LOG).withColumn("prompt_id", F.floor(F.col("call_seq") / 40))
+    got = C.running_rollup(C.price_calls(calls), "prompt_id", ranges=3).collect()
+    assert {(r.session_id, r.prompt_id, r.model): r.calls for r in got} == {
+        (None, 0, "a"): 1, (None, 1, "a"): 2, (1, 0, None): 1, (1, 1, None): 1, (1, 1, "a"): 1}
+    assert C.running_rollup(C.price_calls(calls).limit(0), "prompt_id").count() == 0
+
+
 def test_sessions_between_resets(spark):
     rows, calls = log(spark)
     calls = calls.withColumn("is_reset", F.col("input_tokens") % 5 == 0)
