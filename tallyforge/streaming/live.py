@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from tallyforge.settings import PriceBook
 
 COMPACT_EVERY = 16
 
-_BATCH, _UPTO = "batch_id", "upto"
+_BATCH, _SLOT = "batch_id", "slot"
 
 
 def live_cost_rollup(
@@ -104,41 +106,59 @@ def _drain(
 ) -> DataFrame:
     """Write each micro-batch's rows, merged now and then; return all of them merged.
 
-    A batch has its own folder, so one that is repeated after a failure overwrites
-    itself.  Every `compact_every` batches the newest snapshot and the batches after it
-    are merged into a new snapshot, so what a read takes in follows the number of keys
-    and not the age of the stream.
+    Batches are written to a ring of folders, so one that is repeated after a failure
+    overwrites itself.  Every `compact_every` batches the snapshot and the batches after
+    it are merged into a new snapshot, which goes to the other one of two folders; then a
+    manifest beside it names the last batch it holds.  A snapshot without its manifest
+    does not count, so a merge that fails leaves the older one and all batches after it
+    valid.  Folders are overwritten only once a newer snapshot holds what is in them: what
+    lies on disk, as what a read takes in, follows the number of keys and not the age of
+    the stream.
+
+    The table returned stays readable until the second snapshot after it.  The ring's
+    size is fixed by the stream's first drain; a later `compact_every` can shorten the
+    time between snapshots, and lengthen it up to half the ring.
     """
     spark = stream.sparkSession
     empty = rows_of(spark.createDataFrame([], stream.schema))
     nullable = [T.StructField(f.name, f.dataType) for f in empty.schema.fields]
     kept = T.StructType([*nullable, T.StructField(_BATCH, T.LongType())])
-    updates, snapshots = f"{path}/updates", f"{path}/snapshots"
-
-    def so_far(last: int | None = None) -> DataFrame:
-        """Rows of all batches up to `last`: the newest snapshot and what came after."""
-        batches = [i for i in _written(spark, updates, _BATCH) if last is None or i <= last]
-        newest = max(
-            (i for i in _written(spark, snapshots, _UPTO) if last is None or i <= last), default=None
-        )
+    updates = f"{path}/updates"
+    valid = _manifest(spark, path)
+    if valid is None:
+        valid = _Manifest(slot=0, upto=-1, ring=2 * compact_every)
+        _write_manifest(spark, path, valid)
+    every = min(compact_every, valid.ring // 2)
+    last = None
+
+    def newer(last: int) -> DataFrame:
+        """Rows of the batches after the snapshot, up to `last`."""
+        slots = ",".join(str(i % valid.ring) for i in range(valid.upto + 1, last + 1))
+        rows = _read(spark, f"{updates}/{_SLOT}={{{slots}}}", kept)
+        return rows.filter(F.col(_BATCH).between(valid.upto + 1, last))
+
+    def so_far(last: int) -> DataFrame:
+        """Rows of all batches up to `last`: the valid snapshot and what came after."""
         rows = spark.createDataFrame([], kept)
-        if newest is not None:
-            batches = [i for i in batches if i > newest]
-            rows = spark.read.schema(kept).parquet(f"{snapshots}/{_UPTO}={newest}")
-        if batches:
-            newer = [f"{updates}/{_BATCH}={i}" for i in batches]
-            rows = rows.unionByName(
-                spark.read.schema(kept).option("basePath", updates).parquet(*newer)
-            )
-        return merge(rows)
+        if valid.upto >= 0:
+            rows = _read(spark, f"{path}/snapshots/{_SLOT}={valid.slot}", kept)
+        return merge(rows.unionByName(newer(last)) if last > valid.upto else rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows_of(batch).write.mode("overwrite").parquet(f"{updates}/{_BATCH}={batch_id}")
-        due = batch_id % compact_every == compact_every - 1
-        if due and batch_id not in _written(spark, snapshots, _UPTO):
+        nonlocal valid, last
+        if batch_id <= valid.upto:  # The snapshot has it; only its commit was lost.
+            return
+        rows_of(batch).withColumn(_BATCH, F.lit(batch_id).cast("bigint")).write.mode(
+            "overwrite"
+        ).parquet(f"{updates}/{_SLOT}={batch_id % valid.ring}")
+        last = batch_id
+        if batch_id - valid.upto >= every:
+            newest = _Manifest(slot=1 - valid.slot, upto=batch_id, ring=valid.ring)
             so_far(batch_id).select(kept.names).write.mode("overwrite").parquet(
-                f"{snapshots}/{_UPTO}={batch_id}"
+                f"{path}/snapshots/{_SLOT}={newest.slot}"
             )
+            _write_manifest(spark, path, newest)
+            valid = newest
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -148,18 +168,38 @@ def _drain(
         .start()
     )
     query.awaitTermination()
-    return so_far().drop(_BATCH)
-
-
-def _written(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the complete folders ``name=number`` under `path`."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    found = [s.getPath() for s in files.listStatus(root)]
-    return sorted(
-        int(p.getName().split("=")[1]) for p in found
-        if p.getName().startswith(f"{name}=") and files.exists(hadoop.Path(p, "_SUCCESS"))
-    )
+    if last is None:  # Nothing arrived: ask the folders of the batches after the snapshot.
+        last = newer(valid.upto + valid.ring // 2).agg(F.max(_BATCH)).first()[0]
+    return so_far(valid.upto if last is None else last).drop(_BATCH)
+
+
+class _Manifest(NamedTuple):
+    """Names the snapshot that holds all batches up to `upto`."""
+
+    slot: int
+    upto: int
+    ring: int
+
+
+_MANIFEST = T.StructType([T.StructField(f, T.LongType()) for f in _Manifest._fields])
+
+
+def _manifest(spark: SparkSession, path: str) -> _Manifest | None:
+    """The newest complete manifest: one of two rows at most."""
+    found = _read(spark, f"{path}/manifests/{_SLOT}=*", _MANIFEST).collect()
+    return max((_Manifest(*row) for row in found), key=lambda m: m.upto, default=None)
+
+
+def _write_manifest(spark: SparkSession, path: str, manifest: _Manifest) -> None:
+    row = spark.createDataFrame([tuple(manifest)], _MANIFEST)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{_SLOT}={manifest.slot}")
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the folders that match `path`; none where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
@@ -64,6 +67,76 @@ def test_reads_follow_the_keys_and_not_the_batches(spark):
     assert files[11] <= files[2] and files[8] <= files[2]
 
 
+def on_disk(path):
+    """Bytes and folders of a stream's rows."""
+    found = [f for part in ("updates", "snapshots", "manifests") for f in Path(path, part).rglob("*")]
+    return sum(f.stat().st_size for f in found if f.is_file()), sum(f.is_dir() for f in found)
+
+
+def test_what_lies_on_disk_follows_the_keys_and_not_the_batches(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "rollup")
+    sizes = []
+    for n in range(5):
+        for file in range(4):
+            first = 120 * n + 30 * file
+            calls(spark, first, first + 30).coalesce(1).write.mode("append").parquet(log)
+        rows = live.run_call_costs(stream(spark, log), out, compact_every=2)
+        sizes.append(on_disk(out))
+    batch = C.cost_rollup(C.price_calls(read_call_log(spark, log)))
+    columns = sorted(batch.columns)
+    assert sorted(rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+    # Four folders of updates, two of snapshots, two of manifests; the same keys in each drain.
+    assert all(folders == 8 for _, folders in sizes[1:])
+    assert max(size for size, _ in sizes[1:]) < 1.1 * min(size for size, _ in sizes[1:])
+
+
+def test_a_table_read_before_stays_readable_for_one_more_snapshot(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "rollup")
+    calls(spark, 0, 30).coalesce(1).write.mode("append").parquet(log)
+    before = live.run_call_costs(stream(spark, log), out, compact_every=2)
+    for n in (1, 2, 3):
+        calls(spark, 30 * n, 30 * n + 30).coalesce(1).write.mode("append").parquet(log)
+    live.run_call_costs(stream(spark, log), out, compact_every=2)
+    assert before.agg(F.sum("calls")).first()[0] == 30
+
+
+@pytest.mark.parametrize("fails", ["snapshot", "manifest", "commit"])
+def test_a_compaction_that_fails_loses_nothing_and_counts_nothing_twice(spark, monkeypatch, fails):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "calls")
+    for n in range(7):
+        calls(spark, 30 * n, 30 * n + 30).coalesce(1).write.mode("append").parquet(log)
+    whole = live._write_manifest
+
+    def broken(session, path, manifest):
+        if manifest.upto == 5 and fails == "snapshot":
+            # The folder of the new snapshot is cut short.
+            session.range(3).write.mode("overwrite").parquet(f"{path}/snapshots/slot={manifest.slot}")
+        if manifest.upto == 5 and fails == "commit":
+            whole(session, path, manifest)
+        if manifest.upto == 5:
+            raise RuntimeError("the executor with the snapshot is gone")
+        whole(session, path, manifest)
+
+    monkeypatch.setattr(live, "_write_manifest", broken)
+    with pytest.raises(StreamingQueryException):
+        live.run_call_costs(stream(spark, log), out, compact_every=3)
+    monkeypatch.undo()
+    rows = live.run_call_costs(stream(spark, log), out, compact_every=3)
+    batch = C.cost_rollup(C.price_calls(read_call_log(spark, log)))
+    columns = sorted(batch.columns)
+    assert sorted(rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+
+
+def test_another_number_of_batches_between_snapshots(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "calls")
+    for n, every in enumerate((2, 5, 1, 3)):
+        for file in range(5):
+            first = 50 * n + 10 * file
+            calls(spark, first, first + 10).coalesce(1).write.mode("append").parquet(log)
+        rows = live.run_call_costs(stream(spark, log), out, compact_every=every)
+        assert rows.agg(F.sum("calls")).first()[0] == 50 * (n + 1)
+
+
 def test_live_tally_equals_the_batch_tally(spark):
     path, out = scratch_path(spark, "winners"), scratch_path(spark, "tally")
     schema = "prompt_id INT, winner STRING"
