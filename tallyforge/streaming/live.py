@@ -124,10 +124,8 @@ def _drain(
     nullable = [T.StructField(f.name, f.dataType) for f in empty.schema.fields]
     kept = T.StructType([*nullable, T.StructField(_BATCH, T.LongType())])
     updates = f"{path}/updates"
-    valid = _manifest(spark, path)
-    if valid is None:
-        valid = _Manifest(slot=0, upto=-1, ring=2 * compact_every)
-        _write_manifest(spark, path, valid)
+    found = _manifest(spark, path)
+    valid = found or _Manifest(slot=0, upto=-1, ring=2 * compact_every)
     every = min(compact_every, valid.ring // 2)
     last = None
 
@@ -148,6 +146,10 @@ def _drain(
         nonlocal valid, last
         if batch_id <= valid.upto:  # The snapshot has it; only its commit was lost.
             return
+        if found is None and last is None:
+            if batch_id > 0:
+                raise ValueError(f"{path}: the stream is at batch {batch_id}, but no manifest is there")
+            _write_manifest(spark, path, valid)
         rows_of(batch).withColumn(_BATCH, F.lit(batch_id).cast("bigint")).write.mode(
             "overwrite"
         ).parquet(f"{updates}/{_SLOT}={batch_id % valid.ring}")

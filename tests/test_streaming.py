@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -127,6 +128,19 @@ def test_a_compaction_that_fails_loses_nothing_and_counts_nothing_twice(spark, m
     assert sorted(rows.select(columns).collect()) == sorted(batch.select(columns).collect())
 
 
+def test_a_stream_whose_rows_are_gone_does_not_go_on(spark):
+    log, out, other = (scratch_path(spark, name) for name in ("log", "calls", "calls"))
+    for n in range(2):
+        calls(spark, 30 * n, 30 * n + 30).coalesce(1).write.mode("append").parquet(log)
+        if n == 0:
+            live.run_call_costs(stream(spark, log), out)
+            shutil.copytree(f"{out}/state", f"{other}/state")
+    with pytest.raises(StreamingQueryException, match="no manifest"):
+        live.run_call_costs(stream(spark, log), other)
+    rows = live.run_call_costs(stream(spark, log), out)
+    assert rows.agg(F.sum("calls")).first()[0] == 60
+
+
 def test_another_number_of_batches_between_snapshots(spark):
     log, out = scratch_path(spark, "log"), scratch_path(spark, "calls")
     for n, every in enumerate((2, 5, 1, 3)):
