@@ -18,7 +18,7 @@ from tallyforge.settings import PriceBook
 
 COMPACT_EVERY = 16
 
-_BATCH, _SLOT = "batch_id", "slot"
+BATCH, _SLOT = "batch_id", "slot"
 
 
 def live_cost_rollup(
@@ -53,11 +53,23 @@ def run_updates(
     """Drain what has arrived; return the latest row per key."""
 
     def latest(rows: DataFrame) -> DataFrame:
-        return last_per_key(rows, keys, [_BATCH])
+        return last_per_key(rows, keys, [BATCH])
 
     return _drain(stream, path, lambda batch: batch, latest, compact_every, "update")
 
 
+def run_merged(
+    stream: DataFrame, path: str, merge: Callable[[DataFrame], DataFrame],
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Drain the rows that have arrived; return all of them merged.
+
+    `merge` sees each row's batch in the column `BATCH` and keeps it; it may be applied to
+    what it gave before.
+    """
+    return _drain(stream, path, lambda batch: batch, merge, compact_every, "append")
+
+
 def run_window_costs(
     calls: DataFrame, path: str, width: str, prices: PriceBook | DataFrame = PriceBook(),
     compact_every: int = COMPACT_EVERY,
@@ -71,7 +83,7 @@ def run_window_costs(
     def sums(rows: DataFrame) -> DataFrame:
         return rows.groupBy("start", "end", "book", "model").agg(
             F.sum("calls").alias("calls"), F.sum("cost").cast(schemas.TOTAL_COST).alias("cost"),
-            F.max(_BATCH).alias(_BATCH),
+            F.max(BATCH).alias(BATCH),
         )
 
     return _drain(
@@ -92,7 +104,7 @@ def run_call_costs(
     def sums(rows: DataFrame) -> DataFrame:
         return rows.groupBy("session_id", "book", "model").agg(
             F.sum("calls").alias("calls"), F.sum("cost").cast(schemas.TOTAL_COST).alias("cost"),
-            F.min("first_seq").alias("first_seq"), F.max(_BATCH).alias(_BATCH),
+            F.min("first_seq").alias("first_seq"), F.max(BATCH).alias(BATCH),
         )
 
     return _drain(
@@ -122,7 +134,7 @@ def _drain(
     spark = stream.sparkSession
     empty = rows_of(spark.createDataFrame([], stream.schema))
     nullable = [T.StructField(f.name, f.dataType) for f in empty.schema.fields]
-    kept = T.StructType([*nullable, T.StructField(_BATCH, T.LongType())])
+    kept = T.StructType([*nullable, T.StructField(BATCH, T.LongType())])
     updates = f"{path}/updates"
     found = _manifest(spark, path)
     valid = found or _Manifest(slot=0, upto=-1, ring=2 * compact_every)
@@ -133,7 +145,7 @@ def _drain(
         """Rows of the batches after the snapshot, up to `last`."""
         slots = ",".join(str(i % valid.ring) for i in range(valid.upto + 1, last + 1))
         rows = _read(spark, f"{updates}/{_SLOT}={{{slots}}}", kept)
-        return rows.filter(F.col(_BATCH).between(valid.upto + 1, last))
+        return rows.filter(F.col(BATCH).between(valid.upto + 1, last))
 
     def so_far(last: int) -> DataFrame:
         """Rows of all batches up to `last`: the valid snapshot and what came after."""
@@ -150,7 +162,7 @@ def _drain(
             if batch_id > 0:
                 raise ValueError(f"{path}: the stream is at batch {batch_id}, but no manifest is there")
             _write_manifest(spark, path, valid)
-        rows_of(batch).withColumn(_BATCH, F.lit(batch_id).cast("bigint")).write.mode(
+        rows_of(batch).withColumn(BATCH, F.lit(batch_id).cast("bigint")).write.mode(
             "overwrite"
         ).parquet(f"{updates}/{_SLOT}={batch_id % valid.ring}")
         last = batch_id
@@ -171,8 +183,8 @@ def _drain(
     )
     query.awaitTermination()
     if last is None:  # Nothing arrived: ask the folders of the batches after the snapshot.
-        last = newer(valid.upto + valid.ring // 2).agg(F.max(_BATCH)).first()[0]
-    return so_far(valid.upto if last is None else last).drop(_BATCH)
+        last = newer(valid.upto + valid.ring // 2).agg(F.max(BATCH)).first()[0]
+    return so_far(valid.upto if last is None else last).drop(BATCH)
 
 
 class _Manifest(NamedTuple):

@@ -1,71 +1,59 @@
 """A live cost tracker that can be reset, for calls that arrive in any order.
 
-A session's calls are cut into blocks of call numbers.  The state of a block is its calls,
-so it has a bound, and a session with a third of all calls spreads over its blocks.  When
-calls of a block arrive, its parts between resets are summed anew; a late reset splits a
-part that was summed before, and a call that is delivered again replaces itself.  A read
-numbers the parts of all blocks: one running sum over one row per block.
-
-With a `horizon`, a block's state is dropped once the newest timestamp of the log is that far
-ahead of the block's newest call, and calls that arrive later than that are dropped too: they
-cannot be numbered any more.  Without one, state is kept as long as the tracker lives.
+Every call is a row of its own, by session and number, until nothing can change it: a late
+reset splits a session where it stands, and a call that is delivered again replaces itself.
+A read takes the last delivery of each call and numbers the sessions by running sums over
+ranges of (session, call), so neither many short sessions nor one endless one meet in a task.
+
+With a `horizon`, a session's calls are looked at in blocks of call numbers.  Once the newest
+timestamp of the log is that far ahead of a block's newest call, the next snapshot folds the
+block: each part between resets becomes one row, in the place of its first call, with the
+part's sums.  Calls that arrive for a folded block are dropped: they cannot be numbered any
+more.  Without a horizon, calls are kept as long as the tracker lives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyforge import schemas
 from tallyforge.operators.cost import price_calls
+from tallyforge.operators.keyed import last_per_key
 from tallyforge.operators.running import running_sums
 from tallyforge.settings import PriceBook
-from tallyforge.streaming.live import COMPACT_EVERY, run_updates
+from tallyforge.streaming.live import BATCH, COMPACT_EVERY, run_merged
 
 BLOCK_CALLS = 4096
 
-_CALL = np.dtype([("seq", "<i8"), ("nano", "<i8"), ("reset", "<i8")])
-_PARTS = "session_id bigint, block bigint, part bigint, calls bigint, nano bigint, resets bigint"
-
-
-def _block_parts(expires: bool):
-    """Function of a block's state (its calls, sorted by number) and its new calls that
-    gives out the sums between the block's resets."""
-
-    def parts(key: tuple, rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        newest = state.get[1] if state.exists else 0
-        held = [np.frombuffer(state.get[0], _CALL)] if state.exists else []
-        for batch in rows:
-            new = np.empty(len(batch), _CALL)
-            new["seq"], new["nano"], new["reset"] = batch["call_seq"], batch["nano"], batch["is_reset"]
-            held.append(new)
-            newest = max(newest, int(batch["at_ms"].max()))
-        calls = np.concatenate(held)
-        # The last delivery of a call counts.
-        calls = calls[np.lexsort((np.arange(len(calls)), calls["seq"]))]
-        calls = calls[np.append(calls["seq"][1:] != calls["seq"][:-1], True)]
-        state.update((calls.tobytes(), newest))
-        if expires:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
-        part = np.cumsum(calls["reset"])
-        resets = int(part[-1])
-        nano = np.zeros(resets + 1, np.int64)
-        np.add.at(nano, part, calls["nano"])
-        # Part 0 is always there: a reset before all other calls leaves it empty.
-        yield pd.DataFrame({
-            "session_id": key[0], "block": key[1], "part": np.arange(resets + 1),
-            "calls": np.bincount(part, minlength=resets + 1), "nano": nano, "resets": resets,
-        })
-
-    return parts
+_BLOCK = ["session_id", "block"]
+
+
+def _last_calls(rows: DataFrame) -> DataFrame:
+    """The last delivery of a call counts."""
+    return last_per_key(rows, [*_BLOCK, "call_seq"], [BATCH])
+
+
+def _folded(rows: DataFrame, horizon: str) -> DataFrame:
+    """The last calls, those of blocks older than the horizon as one row per part."""
+    # A block's calls at most are in one window.
+    block = Window.partitionBy(*_BLOCK)
+    open_or_folded = rows.withColumn("closed", F.max("is_folded").over(block)).filter(
+        F.col("is_folded") | ~F.col("closed")
+    ).drop("closed")
+    last = _last_calls(open_or_folded)
+    newest = rows.agg(F.max("at_ms").alias("newest"))
+    aged = last.withColumn("block_ms", F.max("at_ms").over(block)).crossJoin(F.broadcast(newest)).withColumn(
+        "is_old", F.timestamp_millis("block_ms") + F.expr(f"INTERVAL {horizon}") < F.timestamp_millis("newest")
+    )
+    parts = aged.filter("is_old").withColumn("part", F.sum("is_reset").over(block.orderBy("call_seq")))
+    # Only a part's first call can be a reset.
+    sums = parts.groupBy(*_BLOCK, "part").agg(
+        F.min("call_seq").alias("call_seq"), F.sum("calls").alias("calls"), F.sum("nano").alias("nano"),
+        F.max("is_reset").alias("is_reset"), F.max("at_ms").alias("at_ms"), F.lit(True).alias("is_folded"),
+        F.max(BATCH).alias(BATCH),
+    )
+    return aged.filter("NOT is_old").select(rows.columns).unionByName(sums.select(rows.columns))
 
 
 def run_reset_sessions(
@@ -78,29 +66,27 @@ def run_reset_sessions(
     `number_sessions` does; the call that resets belongs to what it starts.  Calls without
     session or number are left out.
     """
-    if horizon:
-        calls = calls.withWatermark("ts", horizon)
     numbered = price_calls(calls, prices).withColumn("is_reset", F.coalesce(is_reset, F.lit(False)))
     keyed = numbered.filter("session_id IS NOT NULL AND call_seq IS NOT NULL").select(
         F.col("session_id").cast("bigint").alias("session_id"),
         F.floor(F.col("call_seq") / block_calls).cast("bigint").alias("block"),
         F.col("call_seq").cast("bigint").alias("call_seq"),
+        F.lit(1).cast("bigint").alias("calls"),
         (F.col("cost") * 1_000_000_000).cast("bigint").alias("nano"),
         F.col("is_reset").cast("bigint").alias("is_reset"),
-        F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("at_ms"), "ts",
+        F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("at_ms"),
+        F.lit(False).alias("is_folded"),
     )
-    timeout = GroupStateTimeout.EventTimeTimeout if horizon else GroupStateTimeout.NoTimeout
-    parts = keyed.groupBy("session_id", "block").applyInPandasWithState(
-        _block_parts(bool(horizon)), _PARTS, "calls binary, newest bigint", "update", timeout
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return _folded(rows, horizon) if horizon else _last_calls(rows)
+
+    latest = run_merged(keyed, path, merge, compact_every).select(
+        "session_id", "call_seq", "calls", "nano", "is_reset"
     )
-    latest = run_updates(parts, path, ["session_id", "block", "part"], compact_every)
-    blocks = latest.filter("part = 0").select("session_id", "block", "resets")
-    through = running_sums(blocks, ["session_id"], "block", {"through": (F.col("resets"), "BIGINT")})
-    offsets = through.select("session_id", "block", (F.col("through") - F.col("resets")).alias("before"))
-    return latest.join(offsets, ["session_id", "block"]).groupBy(
-        "session_id", (F.col("before") + F.col("part")).alias("session_no")
-    ).agg(
+    through = running_sums(latest, ["session_id"], "call_seq", {"session_no": (F.col("is_reset"), "BIGINT")})
+    return through.groupBy("session_id", "session_no").agg(
         F.sum("calls").alias("calls"),
         (F.sum("nano").cast("decimal(28,0)") / F.lit(1_000_000_000).cast("decimal(10,0)"))
         .cast(schemas.TOTAL_COST).alias("total"),
-    ).filter("calls > 0")
+    )

@@ -207,3 +207,44 @@ def test_resets_in_any_order(spark):
         batch = C.cost_total(numbered, ["session_id", "session_no"])
         columns = sorted(batch.columns)
         assert sorted(live_rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+
+
+def test_a_tracker_of_many_short_sessions_runs_no_python_per_session(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "tracker")
+    # Every block of every session holds one call.
+    many = spark.range(30_000).select(
+        (F.col("id") % 6_000).alias("session_id"), F.col("id").alias("call_seq"),
+        F.lit(START).alias("ts"), F.lit("gpt-4").alias("model"), F.lit("judge").alias("call_type"),
+        F.col("id").alias("input_tokens"), F.col("id").alias("output_tokens"),
+    )
+    many.coalesce(1).write.parquet(log)
+    reset = F.col("call_seq") % 7 == 0
+    rows = run_reset_sessions(stream(spark, log), out, reset, block_calls=256)
+    numbered = C.number_sessions(C.price_calls(read_call_log(spark, log)), reset, ["session_id"])
+    batch = C.cost_total(numbered, ["session_id", "session_no"])
+    columns = sorted(batch.columns)
+    assert sorted(rows.select(columns).collect()) == sorted(batch.select(columns).collect())
+    # Spark keeps no state: a group of Python for each block took 3 ms.
+    assert not list(Path(out, "state").glob("state/*"))
+
+
+def test_blocks_past_the_horizon_are_folded_and_stay_right(spark):
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "tracker")
+    reset = F.col("call_seq") % 17 == 5
+
+    def drained():
+        return run_reset_sessions(
+            stream(spark, log), out, reset, block_calls=32, horizon="5 hours", compact_every=1
+        ).collect()
+
+    for first in (0, 90, 600):
+        calls(spark, first, first + 90).coalesce(1).write.mode("append").parquet(log)
+    numbered = C.number_sessions(C.price_calls(read_call_log(spark, log)), reset, ["session_id"])
+    batch = C.cost_total(numbered, ["session_id", "session_no"])
+    before = sorted(drained())
+    assert before == sorted(batch.select("session_id", "session_no", "calls", "total").collect())
+    # Calls for a folded block come too late.
+    calls(spark, 40, 60).coalesce(1).write.mode("append").parquet(log)
+    assert sorted(drained()) == before
+    held = spark.read.parquet(f"{out}/snapshots")
+    assert held.filter("is_folded AND calls > 1").count() > 0
