@@ -33,7 +33,7 @@ def running_sums(
 
     `seq` is unique per key.  `keys` may be empty: then the whole table is one ordered
     log.  `ranges` defaults to the session's number of shuffle partitions.  The rows are
-    written once to the scratch folder, in ranges.
+    written once to the scratch folder, in ranges, by zstd: they carry whole texts.
     """
     spark = rows.sparkSession
     columns, names = rows.columns, list(sums)
@@ -45,7 +45,7 @@ def running_sums(
     count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
         valued.repartitionByRange(count, *keys, seq).withColumn(_RANGE, F.spark_partition_id()),
-        "running",
+        "running", "zstd",
     )
     totals = ranged.groupBy(_RANGE, *keys).agg(
         *[F.coalesce(F.sum(n), F.lit(0)).cast(t).alias(n) for n, (_, t) in sums.items()]

@@ -21,7 +21,10 @@ _MIDDLE = rf"\A\s*,\s*(?:{_LITERAL}\s*,\s*)*\z"
 _LAST = rf"\A\s*(?:,\s*{_LITERAL}\s*)*\]\s*\z"
 _ONLY = rf"\A\s*\[\s*(?:{_LITERAL}\s*(?:,\s*{_LITERAL}\s*)*)?\]\s*\z"
 
-_FILE, _SEQ, _EDGES, _LITERALS = "__file", "__seq", "__edges", "__literals"
+# All that those texts may hold; one with anything else breaks the array.
+_OUTER_TEXT = r"\A[\s\[\],0-9.+\-eEnultrfas]*\z"
+
+_FILE, _SEQ, _EDGES, _LITERALS, _OUTER = "__file", "__seq", "__edges", "__literals", "__outer"
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -50,19 +53,26 @@ def read_prompt_arrays(spark: SparkSession, path: str) -> DataFrame:
     ordered = pieces.select(
         *kept, "value", F.col("_metadata.file_path").alias(_FILE), place.alias(_SEQ),
         (_trailing("value") % 2 == 0).cast("bigint").alias("__edge"),
+        F.when(F.col("value").rlike(_OUTER_TEXT), F.col("value")).otherwise(F.lit("?")).alias(_OUTER),
     )
     counted = running_sums(ordered, [_FILE], _SEQ, {_EDGES: (F.col("__edge"), "BIGINT")})
     # Edges before the piece: odd inside a string.
     numbered = counted.withColumn(_EDGES, F.col(_EDGES) - F.col("__edge"))
-    parts = numbered.groupBy(*kept, _FILE, _EDGES).agg(
-        F.array_sort(F.collect_list(F.struct(_SEQ, "value"))).alias("parts")
-    )
-    joined = parts.select(
-        *kept, _FILE, _EDGES, (F.col(_EDGES) % 2 == 1).alias("__inside"),
-        F.array_join(F.transform("parts", lambda p: p["value"]), '"').alias("value"),
-    )
-    outside = joined.filter(~F.col("__inside")).withColumn(_LITERALS, _literals("value"))
-    if not _checked(outside, joined):
+
+    def pieced(column: str) -> DataFrame:
+        parts = numbered.groupBy(*kept, _FILE, _EDGES).agg(
+            F.array_sort(F.collect_list(F.struct(_SEQ, F.col(column).alias("value")))).alias("parts")
+        )
+        return parts.select(
+            *kept, _FILE, _EDGES, (F.col(_EDGES) % 2 == 1).alias("__inside"),
+            F.array_join(F.transform("parts", lambda p: p["value"]), '"').alias("value"),
+        )
+
+    # The check shuffles no strings.
+    outer = pieced(_OUTER)
+    outside = outer.filter(~F.col("__inside")).withColumn(_LITERALS, _literals("value"))
+    joined = pieced("value")
+    if not _checked(outside, outer):
         strings = joined.filter("__inside")
         return strings.select(
             *kept, F.floor(F.col(_EDGES) / 2).cast("int").alias("prompt_idx"),

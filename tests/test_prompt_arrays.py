@@ -2,7 +2,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyforge.sources import prompts
 from tallyforge.sources.prompts import read_prompt_arrays, read_prompts, write_prompt_arrays
 
 
@@ -89,3 +91,26 @@ def test_written_batches(spark, ranges, tmp_path):
 def test_nothing_to_write(spark, tmp_path):
     write_prompt_arrays(spark.createDataFrame([], "n bigint, prompt string"), str(tmp_path / "a"), "n")
     assert not list((tmp_path / "a").glob("batch=*"))
+
+
+def test_the_check_of_arrays_moves_no_strings(spark, tmp_path):
+    path = str(tmp_path / "a")
+    spark.range(400).select(
+        F.col("id").alias("n"), F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(40)).alias("prompt")
+    ).write.parquet(str(tmp_path / "texts"))
+    write_prompt_arrays(spark.read.parquet(str(tmp_path / "texts")), path, "n", file_bytes=1 << 20)
+    checked = []
+    known = prompts._checked
+
+    def spied(outside, joined):
+        checked.extend([outside, joined])
+        return known(outside, joined)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(prompts, "_checked", spied)
+        found = read_prompt_arrays(spark, path)
+    assert found.count() == 400
+    longest = [t.agg(F.max(F.length("value"))).first()[0] for t in checked]
+    assert max(longest) < 10
+    # What is written on the way, by zstd.
+    assert all(".zstd." in f for f in found.inputFiles())
