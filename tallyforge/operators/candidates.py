@@ -18,6 +18,8 @@ from tallyforge.settings import ScoreWeights
 TIMED_OUT = "test run timed out or reported no integer count"
 UNCHECKED = "syntax was not checked"
 
+_STYLE = "__style_score"
+
 
 def score_candidates(
     candidates: DataFrame, weights: ScoreWeights = ScoreWeights()
@@ -36,7 +38,11 @@ def score_candidates(
     candidates = candidates.withColumns({
         c: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) for c, t in absent.items()
     })
-    style = S.style_report(F.col("rating"), F.col("avg_complexity"))
+    # A column, as it is read twice and Catalyst computes such ones once.
+    candidates = candidates.withColumn(
+        _STYLE, S.style_score(F.col("rating"), F.col("avg_complexity"))
+    )
+    style = S.style_report(F.col("rating"), F.col("avg_complexity"), F.col(_STYLE))
     report = F.col("bandit_output") if "bandit_output" in candidates.columns else F.lit(None)
     reason = F.col("error") if "error" in candidates.columns else F.lit(TIMED_OUT)
     reason = F.when(F.col("syntax_ok").isNull(), F.lit(UNCHECKED)).otherwise(reason)
@@ -45,12 +51,11 @@ def score_candidates(
         report.cast("string").alias("bandit_output"),
     )
     used = {"syntax_ok", "security_issues", "rating", "avg_complexity", "bandit_output",
-            "tests", "error"}
+            "tests", "error", _STYLE}
     passed, failed = F.col("tests.passed"), F.col("tests.failed")
     status = S.status(F.col("syntax_ok"), F.col("tests"))
     score = S.final_score(
-        S.pass_rate(passed, failed), F.col("security_issues"),
-        S.style_score(F.col("rating"), F.col("avg_complexity")), weights,
+        S.pass_rate(passed, failed), F.col("security_issues"), F.col(_STYLE), weights,
     )
     return candidates.select(
         *[c for c in candidates.columns if c not in used],

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scoring as S
 from tallyforge.operators.candidates import only_where_valid, score_candidates
 from tallyforge.settings import ScoreWeights
+from workload.views import scored_runs
 
 CANDIDATE = (
     "prompt_id BIGINT, model STRING, model_pos INT, syntax_ok BOOLEAN, security_issues INT,"
@@ -95,3 +98,35 @@ def test_costly_step_sees_valid_rows_only(spark):
 
     got = {r.id: r.out for r in only_where_valid(rows, costly).collect()}
     assert got == {1: "done", 2: None, 3: None}
+
+
+@pytest.mark.parametrize("digits", [2, 3])
+def test_rounds_as_python_near_and_far_from_the_middle(spark, digits):
+    rng = random.Random(digits)
+    values = [k / 2000 for k in range(0, 9000, 7)] + [rng.random() * 10 ** rng.randrange(-4, 9) for _ in range(1000)]
+    values += [(2 * k + 1) / (2 * 10**digits) for k in range(500)] + [999999.995, 1e6, 1000000.125, 2.0**40 + 0.5]
+    values += [math.nextafter(v, d) for v in (2.675, 1.005, 0.0625, 0.125, 0.005, 0.0005) for d in (0, 9)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    found = [tuple(r) for r in rows.select("x", S.round_binary(F.col("x"), digits)).collect()]
+    assert found == [(v, round(v, digits)) for v in values]
+    odd = spark.createDataFrame([(None,), (-1.0,), (float("nan"),)], "x double")
+    null, below, nan = [r[0] for r in odd.select(S.round_binary(F.col("x"), digits)).collect()]
+    assert null == below == 0.0 and math.isnan(nan)
+
+
+def test_scores_make_no_method_too_large_to_compile(spark, tmp_path, capsys):
+    spark.range(9).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.current_date().alias("l_shipdate"),
+        F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"), F.rand(1).alias("l_quantity"),
+        F.rand(2).alias("l_discount"), F.rand(3).alias("l_tax"), F.lit("N").alias("l_returnflag"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it shows no code before it runs
+    try:
+        capsys.readouterr()
+        scored_runs(spark, str(tmp_path)).explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # The JVM compiles none of more than 8,000 bytes.
+    assert sizes and max(sizes) <= 8000
