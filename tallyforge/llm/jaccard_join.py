@@ -284,7 +284,7 @@ def jaccard_components(
         grams.join(pivots.select("gram", "pivot"), "gram"), "jaccard-grams"
     )
     verifier = _Verifier(docs, nodes, id_col, text_col, size, percent)
-    links = tried = groups = None
+    tried = groups = None
     for turn in range(rounds):
         pairs = _star_pairs(shared, groups, tried, turn, percent)
         pairs = materialize(pairs, "jaccard-pairs")
@@ -292,15 +292,12 @@ def jaccard_components(
             break
         new = verifier.links(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        groups = connected_components(links)
+        groups = materialize(connected_components(new, groups), "jaccard-groups")
     # Also where a round found no pair: that no pivot is left untried says nothing about
     # pairs of other members.
     rest = materialize(_cross_pairs(shared, groups, tried, percent), "jaccard-rest")
     if not rest.isEmpty():
-        new = verifier.links(rest)
-        links = new if links is None else links.unionByName(new)
-        groups = connected_components(links)
+        groups = materialize(connected_components(verifier.links(rest), groups), "jaccard-groups")
     members = nodes.select("signature", "node", "least")
     if groups is not None:
         members = members.join(groups, "node", "left")
@@ -379,11 +376,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with equal id and text one stays.  Rows without n-grams all stay.
     """
     found = jaccard_components(docs, id_col, text_col, **options)
-    firsts = found.filter(F.col("group").isNotNull()).groupBy("group").agg(
-        F.min(F.struct("id", KEY)).alias("first")
-    ).select(f"first.{KEY}")
-    others = found.filter(F.col("group").isNull()).select(KEY)
-    kept = firsts.unionByName(others).distinct()
+    own = F.when(F.col("group").isNull(), F.col(KEY)).alias("own")
+    kept = found.groupBy("group", own).agg(F.min(F.struct("id", KEY)).alias("first")).select(f"first.{KEY}")
     keyed = docs.withColumn(KEY, row_key(id_col, text_col))
     with_grams = keyed.join(kept, KEY, "left_semi")
     return with_grams.dropDuplicates([KEY]).select(*docs.columns)

@@ -93,9 +93,9 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit rows of (1 + log tf) idf; a row without terms stays zero."""
-    x = np.log1p(counts)
+def weighted(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Unit rows of (1 + log tf) idf; a row without terms stays zero.  `out` may be `counts`."""
+    x = np.log1p(counts, out=out)
     x *= idf
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     x /= np.where(norm > 0, norm, 1)[:, None]
@@ -131,17 +131,20 @@ def labelled_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "__text"):
             counts = term_counts(*text_bytes(block.column("__text")))
-            raw = [row.tobytes() for row in counts.astype("<u4")]
+            cells = [np.flatnonzero(row) for row in counts]
+            raw = [row[at].astype("<u4").tobytes() for row, at in zip(counts, cells, strict=True)]
+            cells = [at.astype("<u2").tobytes() for at in cells]
             yield pa.RecordBatch.from_arrays(
-                [block.column("label"), pa.array(raw, pa.binary())], ["label", "counts"]
+                [block.column("label"), pa.array(cells, pa.binary()), pa.array(raw, pa.binary())],
+                ["label", "cells", "counts"],
             )
 
-    # At most two times LABELLED_PER_CLASS rows.
+    # At most two times LABELLED_PER_CLASS rows, of each only the cells that occur.
     chosen = sampled_texts(docs, sample, id_col, text_col)
-    rows = chosen.mapInArrow(run, "label int, counts binary").collect()
+    rows = chosen.mapInArrow(run, "label int, cells binary, counts binary").collect()
     counts = np.zeros((len(rows), CELLS), np.float32)
     for i, r in enumerate(rows):
-        counts[i] = np.frombuffer(r["counts"], "<u4")
+        counts[i, np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["counts"], "<u4")
     return counts, np.array([r["label"] for r in rows], np.float32)
 
 
@@ -194,7 +197,7 @@ def fit(
     sample = sample_labels(labels, id_col, label_col, learn, per_class)
     counts, y = labelled_counts(docs, sample, id_col, text_col)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 1
-    x = weighted(counts, idf)
+    x = weighted(counts, idf, out=counts)
     axes = latent_axes(x, RANK) if len(x) else np.zeros((CELLS, 1), np.float32)
     return Model(idf, axes, project(x, axes) if len(x) else np.zeros((0, 1), np.float32), y)
 

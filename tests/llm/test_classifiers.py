@@ -106,3 +106,16 @@ def test_stored_counts_are_not_clipped(spark):
     sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, label int")
     counts, labels = knn_quality.labelled_counts(docs, sample, "doc_id", "text")
     assert counts[labels == 1].max() > 65535
+
+
+def test_only_cells_that_occur_go_to_the_driver(spark, monkeypatch):
+    rows = [(i, f"some words {i} of a text {i % 7}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, label int")
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    counts, labels = knn_quality.labelled_counts(docs, sample, "doc_id", "text")
+    assert sum(len(v) for r in sent[0] for v in r if isinstance(v, (bytes, bytearray))) < 40 * 600
+    whole = knn_quality.term_counts(*text_bytes(pa.array([t for _, t in rows])))
+    found = sorted((y, *row) for y, row in zip(labels, counts.tolist(), strict=True))
+    assert found == sorted((i % 2, *row) for i, row in enumerate(whole.tolist()))
